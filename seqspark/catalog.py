@@ -1,0 +1,8 @@
+"""All registered queries of the sequence operators, with the SQL that states the same result."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def flagship(spark, sf_dir: str):
+    raise NotImplementedError
