@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Key ranges of a running sum.
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     """
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), source_key(F.col("source")).alias("_key"), F.monotonically_increasing_id().alias("_row"))
     sized = sized.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
-    sized = sized.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    sized = cut(sized.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")))  # sizes are used three times, texts are read once
     # a row for each source; Spark broadcasts it only below its size threshold
     known = sized.join(source_targets(sized.select("_key", "size"), weights, share, passes), "_key")
     clock = running(known, ["_key", "_b"], ["_h", "doc_id", "size", "_row"], "size", "_before")
@@ -85,7 +85,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     start = F.col("_before") + F.col("_pass") * F.col("source_size")
     copies = copies.withColumn("_part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target") - start)))
     finish = F.when(F.col("_part") > 0, (start + F.col("_part")) / F.col("target")).otherwise(F.lit(1.0))
-    copies = copies.withColumn("_finish", finish).withColumn("_range", F.least((F.col("_finish") * RANGES).cast("int"), F.lit(RANGES - 1)))
+    copies = copies.withColumn("_finish", finish)
+    # copies that take nothing add nothing to any sum: they are spread over the ranges instead of meeting at time 1
+    at = F.when(F.col("_part") > 0, F.least((F.col("_finish") * RANGES).cast("int"), F.lit(RANGES - 1))).otherwise(F.col("_b"))
+    copies = copies.withColumn("_range", F.coalesce(at, F.lit(0)))
     mixed = running(copies, ["_range"], ["_finish", "_h", "doc_id", "_row", "_pass"], "_part", "_at")
     end = F.col("_budget") if budget is None else F.least(F.col("_budget"), F.lit(budget))
     mixed = mixed.withColumn("_part", F.greatest(F.lit(0).cast("long"), F.least(F.col("_part"), end - F.col("_at"))))
@@ -102,7 +105,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size,
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size,
          coalesce('0' || source, '1') AS k, md5(concat_ws(':', '17', doc_id::VARCHAR)) AS h FROM documents),
 p AS (SELECT k, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY k) - 1 AS n FROM d GROUP BY k),
 w AS (SELECT *, CASE n % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM p),
