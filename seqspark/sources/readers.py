@@ -334,11 +334,11 @@ def encode_sa(primary: int, counts: list[int], interval: int, length: int, sampl
 def read_annotations(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame]:
     """(contigs, ambs) of the two text sidecars."""
     ann = spark.read.text(f"{prefix}.ann", wholetext=True)
-    rows = ann.select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("i", "v")).where("i > 0")
+    rows = ann.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("i", "v")).where("i > 0")
     pairs = rows.groupBy(F.floor((F.col("i") - 1) / 2).cast("int").alias("ref_id")).agg(F.max(F.when(F.pmod("i", F.lit(2)) == 1, F.col("v"))).alias("a"), F.max(F.when(F.pmod("i", F.lit(2)) == 0, F.col("v"))).alias("b"))
     a, b = F.split("a", " ", 3), F.split("b", " ")
     contigs = pairs.select("ref_id", a[1].alias("name"), F.coalesce(F.get(a, F.lit(2)), F.lit("")).alias("anno"), b[0].cast("long").alias("offset"), b[1].cast("int").alias("len"), b[2].cast("int").alias("n_ambs"), a[0].cast("int").alias("gi"))
-    amb = spark.read.text(f"{prefix}.amb", wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("i", "v")).where("i > 0 and v <> ''")
+    amb = spark.read.text(f"{prefix}.amb", wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("i", "v")).where("i > 0 and v <> ''")
     c = F.split("v", " ")
     return contigs, amb.select(c[0].cast("long").alias("offset"), c[1].cast("int").alias("len"), c[2].alias("amb"))
 
