@@ -78,12 +78,14 @@ def hits(docs: DataFrame, items: DataFrame, broadcast: bool, lengths: list[int])
     met = marked.join(hint(bench), F.col("_h") == F.col("_bh"), "left").where((F.col("_i") < 0) | F.col("_bh").isNotNull())
     if broadcast:
         met = met.withColumn("_d", context())
-    # no filter on what follows: it would be merged into the one above, which every fingerprint passes
-    met = met.withColumn("_eq", F.zip_with("_d", "_b", lambda x, y: F.coalesce(x == y, F.lit(False))))
+    # _d is used twice, so it is computed in the join's generated code and no row with a whole text's words leaves that;
+    # and no filter on what follows, as it would be merged into the one that every fingerprint passes
+    eq = F.zip_with("_d", "_b", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    met = met.select("_row", "doc_id", "n_words", "item_id", "_i", eq.alias("_eq"), F.size("_d").alias("_n"))
     run = lambda part, n: F.coalesce(F.when(F.array_position(part, F.lit(False)) == 0, F.lit(n)).otherwise(F.array_position(part, F.lit(False)) - 1), F.lit(0))
     left, right = run(F.reverse(F.slice("_eq", 1, SIDE)), SIDE), run(F.slice("_eq", SIDE + 1, WINDOW), WINDOW)
-    found = met.select("_row", "doc_id", "n_words", "item_id", "_i", left.cast("int").alias("_l"), right.cast("int").alias("_r"))
-    ok = (F.col("_i") >= 0) & (F.col("_r") >= GRAM) & (F.col("_l") + F.col("_r") >= WINDOW)
+    found = met.select("_row", "doc_id", "n_words", "item_id", "_i", left.cast("int").alias("_l"), right.cast("int").alias("_r"), "_n")
+    ok = (F.col("_i") >= 0) & (F.col("_n") == len(around)) & (F.col("_r") >= GRAM) & (F.col("_l") + F.col("_r") >= WINDOW)
     found = found.select("_row", "doc_id", "n_words", "item_id", (F.col("_i") - F.col("_l")).alias("_from"), (F.col("_i") + F.col("_r")).alias("_to"), ok.alias("_ok"))
     for n in lengths:
         few = items.where(F.size("_w") == n).select("item_id", F.col("_w").alias("_b")).withColumn("_bh", F.xxhash64(F.array_join("_b", " ")))
@@ -125,7 +127,7 @@ dw AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
 h AS (SELECT r, item_id, i, dw.n FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
 p AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY r),
-t AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+t AS (SELECT r, count(item_id) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
