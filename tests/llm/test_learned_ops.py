@@ -185,6 +185,40 @@ def test_sketch_distance_grows_with_dissimilarity():
     assert d == sorted(d) and d[0] == 0
 
 
+@pytest.mark.parametrize("n", [1, 4, 40, 400, 8000])
+def test_sketches_estimate_jaccard_at_every_size(n):
+    rng = np.random.default_rng(n)
+    bits = 64 * stages.SKETCH
+    got, want = [], []
+    for _ in range(20):
+        a = np.unique(rng.integers(0, 1 << 63, n + max(1, n // 4), dtype=np.uint64))
+        b = a[rng.permutation(len(a))[:n]]
+        got.append(np.bitwise_count(stages.minwise_sketch(a) ^ stages.minwise_sketch(np.sort(b))).sum())
+        want.append((1 - len(b) / len(a)) / 2 * bits)
+    assert abs(np.mean(got) - np.mean(want)) < 4 * np.sqrt(np.mean(want) / 20) + 1
+    assert not stages.minwise_sketch(np.zeros(0, np.uint64)).any()
+
+
+def test_near_duplicate_stage_against_exact_jaccard(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    where: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, set()).add(i)
+    near: dict = {i: {} for i in sets}
+    for i, s in sets.items():
+        for j in set().union(*(where[x] for x in s)) - {i}:
+            near[i][j] = len(s & sets[j]) / len(s | sets[j])
+    kept = {r["doc_id"] for r in stages.drop_near_duplicates(spark, docs, SF).select("doc_id").collect()}
+    for i in sets:
+        if i in kept:  # no surely near copy of it is kept as well
+            assert not any(j in kept for j, x in near[i].items() if x >= 0.87)
+        else:  # nothing is dropped without a neighbour that is about near
+            assert max(near[i].values(), default=0) >= 0.73
+
+
 def test_fold_of_null_ids(spark):
     from seqspark.llm.common import held_out
 
