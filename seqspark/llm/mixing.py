@@ -56,17 +56,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, pass
     return per.withColumn("_budget", F.sum(F.floor("target")).over(every)).select("_key", "source_size", "target", "_budget")
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """``df`` plus ``out``: the sum of ``value`` over the rows before.
+def running(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` plus ``out``: the sum of ``value`` over the rows before, in the order of ``key`` and ``order``.
 
-    The last of ``keys`` numbers the ranges of the order, below RANGES; the others are groups.  Sums of ranges are
-    added up first (at most RANGES rows a group), then rows within a range.
+    ``key`` numbers the ranges of the order, below RANGES.  Sums of ranges are added up first, then rows within a range.
     """
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("_s"))
-    ranges = Window.orderBy(keys[-1]) if len(keys) == 1 else Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
-    offsets = sums.select(*keys, (F.sum("_s").over(ranges) - F.col("_s")).alias("_o"))
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.join(offsets, keys).withColumn(out, F.col("_o") + F.sum(value).over(within) - F.col(value)).drop("_o")
+    sums = df.groupBy(key).agg(F.sum(value).alias("_s"))
+    offsets = sums.select(key, (F.sum("_s").over(Window.orderBy(key)) - F.col("_s")).alias("_o"))
+    within = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.join(offsets, key).withColumn(out, F.col("_o") + F.sum(value).over(within) - F.col(value)).drop("_o")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = 17, budget: int | None = None) -> DataFrame:
@@ -78,9 +76,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), source_key(F.col("source")).alias("_key"), F.monotonically_increasing_id().alias("_row"))
     sized = sized.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
     sized = cut(sized.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")))  # sizes are used three times, texts are read once
-    # a row for each source; Spark broadcasts it only below its size threshold
-    known = sized.join(source_targets(sized.select("_key", "size"), weights, share, passes), "_key")
-    clock = running(known, ["_key", "_b"], ["_h", "doc_id", "size", "_row"], "size", "_before")
+    # documents meet their target by source and range: no join or window deals them by source alone
+    ranges = sized.groupBy("_key", "_b").agg(F.sum("size").alias("_s"))
+    targets = source_targets(ranges.select("_key", F.col("_s").alias("size")), weights, share, passes)
+    upto = F.sum("_s").over(Window.partitionBy("_key").orderBy("_b"))  # at most RANGES rows a source
+    known = ranges.select("_key", "_b", (upto - F.col("_s")).alias("_o")).join(targets, "_key")
+    within = Window.partitionBy("_key", "_b").orderBy("_h", "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    clock = sized.join(known, ["_key", "_b"]).withColumn("_before", F.col("_o") + F.sum("size").over(within) - F.col("size")).drop("_o")
     copies = clock.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     start = F.col("_before") + F.col("_pass") * F.col("source_size")
     copies = copies.withColumn("_part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target") - start)))
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PA
     # copies that take nothing add nothing to any sum: they are spread over the ranges instead of meeting at time 1
     at = F.when(F.col("_part") > 0, F.least((F.col("_finish") * RANGES).cast("int"), F.lit(RANGES - 1))).otherwise(F.col("_b"))
     copies = copies.withColumn("_range", F.coalesce(at, F.lit(0)))
-    mixed = running(copies, ["_range"], ["_finish", "_h", "doc_id", "_row", "_pass"], "_part", "_at")
+    mixed = running(copies, "_range", ["_finish", "_h", "doc_id", "_row", "_pass"], "_part", "_at")
     end = F.col("_budget") if budget is None else F.least(F.col("_budget"), F.lit(budget))
     mixed = mixed.withColumn("_part", F.greatest(F.lit(0).cast("long"), F.least(F.col("_part"), end - F.col("_at"))))
     same = ["doc_id", "source", "size", "source_size", "target"]
