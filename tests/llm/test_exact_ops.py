@@ -272,3 +272,13 @@ def test_html_on_sample_pages():
         body = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", page, re.S)[1]
         parts = (re.sub(r"\s+", " ", html.unescape(re.sub("<br>", " ", p).replace("<b>", ""))).strip() for p in re.split(r"</?(?:p|h1)>", body))
         assert html_extract.extract(page) == "\n".join(p for p in parts if p)
+
+
+def test_html_ratios_decide_on_marked_pages():
+    long = "<p>A long paragraph, with words; and more of them.</p>" * 3
+    got = html_extract.extract(f"<div class=content><i>x</i>{long}</div><section><p>An unmarked one, as long; and with marks, too.</p></section><div><a>Home</a></div>").split("\n")
+    assert "An unmarked one, as long; and with marks, too." in got  # a good ratio outside the mark
+    assert "x" not in got and "Home" not in got and len(got) == 4  # poor ones in and outside
+    # an article's short lines stay, names that are off never come in
+    assert html_extract.extract(f"<article><h1>Head</h1>{long}</article><div class=ad><p>An advert, as long as the text; with marks.</p></div>").split("\n")[0] == "Head"
+    assert "advert" not in html_extract.extract(f"<article>{long}</article><div class=ad><p>An advert, as long as the text; with marks.</p></div>")
