@@ -29,7 +29,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 BASE_KINDS = ("assign", "access", "hex")
 # parts: candidates too weak to report alone
 PART_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIDA)[A-Z0-9]{8,}(?![A-Za-z0-9])")
-PART_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{0,64}[A-Z])(?=[A-Za-z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{30,64}={0,2}(?![A-Za-z0-9+/_=-])")
+PART_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{30,}+)={0,2}+(?![A-Za-z0-9+/_=-])")  # of any length
+SECRET_NEEDS = tuple(re.compile(c) for c in ("[0-9]", "[A-Z]", "[a-z]"))
 PART_ENDPOINT = re.compile(r"(?:https?|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}")
 SCOPE_END = re.compile(r"\n[ \t]*\n")
 REACH = 200
@@ -57,7 +58,7 @@ def parts(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text or "ASIA" in text or "AIDA" in text:
         out += [(m.start(), m.end(), "id") for m in PART_ID.finditer(text)]
     if BLOB_RUN in text.encode("latin-1", "replace").translate(BLOB_MAP):
-        out += [(m.start(), m.end(), "secret") for m in PART_SECRET.finditer(text)]
+        out += [(m.start(), m.end(), "secret") for m in PART_SECRET.finditer(text) if all(c.search(m[1]) for c in SECRET_NEEDS)]
     return out
 
 

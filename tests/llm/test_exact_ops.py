@@ -247,6 +247,18 @@ def test_redaction_keeps_the_rest():
     assert secret_scan.redact(None) is None and secret_scan.redact("clean") == "clean"
 
 
+@pytest.mark.parametrize("n", [29, 30, 64, 65, 86, 300, 70000])
+def test_linked_secrets_of_any_length(n):
+    for blob in ("q" * (n - 2) + "B7", "B7" + "q" * (n - 2)):  # the needed characters at either end
+        for pad in ("", "=="):
+            for near, kind in (("AKIAABCD12345678", "id"), ("https://store.example.com", "endpoint")):
+                spans = f"linked_{kind}:0:{len(near)},linked_secret:{len(near) + 1}:{len(near) + 1 + n + len(pad)}"
+                assert secret_scan.scan(f"{near} {blob}{pad} end")["spans"] == (spans if n >= 30 else "")
+    assert secret_scan.redact(f"AKIAABCD12345678 {'aB7x' * 22}== end") == "[SECRET] [SECRET] end"
+    for bad in ("q" * n, "qB" * n, "aB7" * n + "===", "aB7" * n + "=x"):
+        assert secret_scan.scan(f"AKIAABCD12345678 {bad} end")["n_linked"] == 0
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>x</style></head><body><header><h2>Site</h2></header><nav><a>Home</a></nav><div class="cookie-notice">We use cookies, fine.</div>
 <main><article><h1>Head &amp; line</h1><p>First   <b>bold</b>
 text; more.<p>Second, unclosed<ul><li>one<li>two</ul><div class="comments"><p>Nice post!</p></div><aside>Related</aside><script>var x = "</p>";</script></article></main><form><p>Mail</p></form><footer>End</footer></body></html>"""
