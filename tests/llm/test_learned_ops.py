@@ -224,3 +224,25 @@ def test_fold_of_null_ids(spark):
 
     df = spark.createDataFrame([(None,), (3,)], "doc_id long")
     assert [r[0] for r in df.select(held_out(F.col("doc_id"), 5, 0)).collect()] == [False, zlib.crc32(b"3") % 5 == 0]
+
+
+def test_cut_and_extended_copies_meet():
+    rng = np.random.default_rng(8)
+    for n in (60, 250, 1000):
+        met = 0
+        for i in range(300):
+            w = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+            cut_off = w[: int(np.ceil(0.8 * (n - 4))) + 4]  # Jaccard similarity of five-word shingles: 0.8 or just above
+            codes = [r[0] for r in (stages._sketcher()([" ".join(x)])[0] for x in (w, cut_off))]
+            met += any(a == b for a, b in zip(*codes, strict=True))
+        assert met >= 0.99 * 300 - 2, n
+
+
+def test_near_duplicate_stage_finds_cut_copies(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(200):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, 250)]
+        rows += [(2 * i, " ".join(w), "en", "a", 0), (2 * i + 1, " ".join(w[:214]), "en", "a", 0)]  # 210 of 246 shingles: 0.854
+    kept = stages.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), SF).count()
+    assert 200 <= kept <= 204
