@@ -246,3 +246,36 @@ def test_near_duplicate_stage_finds_cut_copies(spark):
         rows += [(2 * i, " ".join(w), "en", "a", 0), (2 * i + 1, " ".join(w[:214]), "en", "a", 0)]  # 210 of 246 shingles: 0.854
     kept = stages.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), SF).count()
     assert 200 <= kept <= 204
+
+
+@pytest.mark.parametrize("limit", [4, 16, 20_000])
+def test_every_member_of_a_code_is_compared(spark, limit):
+    from seqspark.llm.components import components
+
+    rng = np.random.default_rng(limit)
+    most, full = stages.sketch_distance(0.8, 512), rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+
+    def flipped(sketch, at):
+        bits = np.unpackbits(sketch.view(np.uint8))
+        bits[at] ^= 1
+        return np.packbits(bits).view(np.uint64)
+
+    # chains: each row near the next, none near the one after; two chains share a code, their rows are mixed
+    chains = [[flipped(full, slice(0, 0))], [~full]]
+    for c in chains:
+        for k in range(9):
+            c.append(flipped(c[-1], slice(40 * k, 40 * k + 40)))
+    sketches = [x for c in chains for x in c]
+    order = rng.permutation(20)
+    order = np.r_[order[order % 10 == 5], order[order % 10 != 5]]  # a middle row comes first and would lead
+    rows = [(0, 7, int(i), bytearray(sketches[at].tobytes())) for i, at in enumerate(order)] + [(1, 7, 100, bytearray(full.tobytes())), (0, 8, 101, bytearray(full.tobytes()))]
+    df = spark.createDataFrame(rows, "t int, code long, node long, sketch binary")
+    root = {r["node"]: r["root"] for r in components(stages.link_sketches(df, most, limit=limit)).collect()}
+    got: dict = {}
+    for i, at in enumerate(order):
+        got.setdefault(root.get(i, i), set()).add(int(at))
+    words = np.array(sketches)
+    near = np.bitwise_count(words[:, None] ^ words[None]).sum(2) <= most
+    reach = np.linalg.matrix_power(near.astype(float), 20) > 0
+    assert sorted(map(sorted, got.values())) == sorted(map(list, {tuple(np.flatnonzero(r).tolist()) for r in reach}))
+    assert 100 not in root and 101 not in root
