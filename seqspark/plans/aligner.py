@@ -40,8 +40,15 @@ class Parameters:
         return band_length(self.max_dist)
 
 
-def candidates(reads: DataFrame, texts: DataFrame, p: Parameters) -> DataFrame:
-    """(read_id, ref_id, rc, pos, n_seeds): at most ``max_hits`` places a read, those with most seeds first.
+def rarest_seeds(hits: DataFrame, most: int) -> DataFrame:
+    """All hits of the ``most`` seeds of each read that have fewest hits (both strands together), of equal ones the first."""
+    seed = ["read_id", "rc", "pos_in_read"]
+    kept = top_k(hits.groupBy(*seed).agg(F.count("*").alias("_n")), ["read_id"], [F.col("_n"), F.col("pos_in_read"), F.col("rc")], most, "_ord")
+    return hits.join(kept.select(*seed), seed, "left_semi")
+
+
+def candidates(reads: DataFrame, texts: DataFrame, p: Parameters, max_hits: int | None = None) -> DataFrame:
+    """(read_id, ref_id, rc, pos, n_seeds): every place of a read's seeds, or of its ``max_hits`` rarest seeds in a round.
 
     Reads without hits are seeded again from shifted places, up to ``max_reseed`` times: an anti-join a round.
     """
@@ -52,12 +59,14 @@ def candidates(reads: DataFrame, texts: DataFrame, p: Parameters) -> DataFrame:
             hits = lookup.map_exact(todo, texts, p.seed_length, p.seed_interval, retry)
         else:
             hits = lookup.map_seeds(todo, texts, p.substitutions, p.sub_seed, length=p.seed_length, interval=p.seed_interval).drop("mismatches")
+        if max_hits is not None:
+            hits = rarest_seeds(hits, max_hits)
         places = lookup.seed_diagonals(hits)
         found = places if found is None else found.unionByName(places.join(found.select("read_id").distinct(), "read_id", "left_anti"))
         if p.substitutions:
             break
         todo = todo.join(places.select("read_id").distinct(), "read_id", "left_anti")
-    return top_k(found, ["read_id"], [F.desc("n_seeds"), F.col("ref_id"), F.col("pos"), F.col("rc")], p.max_hits, "ord")
+    return found
 
 
 def scored(reads: DataFrame, texts: DataFrame, places: DataFrame, p: Parameters) -> DataFrame:
@@ -83,7 +92,7 @@ def align(reads: DataFrame, texts: DataFrame, p: Parameters = Parameters()) -> D
 
     Two phases: scores decide the best two of a read, tracebacks run on winners only.
     """
-    places = scored(reads, texts, candidates(reads, texts, p), p)
+    places = scored(reads, texts, candidates(reads, texts, p, p.max_hits), p)
     best = reduce.best_two(_hits(places))
     return reads.select("read_id", "len").join(traced(reads, texts, best, p), "read_id", "left")
 
@@ -102,7 +111,7 @@ def traced(reads: DataFrame, texts: DataFrame, best: DataFrame, p: Parameters) -
 
 
 def align_all(reads: DataFrame, texts: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """Every distinct end of a read's places at or above the threshold."""
+    """Every distinct end of a read's places at or above the threshold; neither places nor seeds are capped."""
     places = scored(reads, texts, candidates(reads, texts, p), p)
     return places.groupBy("read_id", "ref_id", "rc", (F.col("text_from") + F.col("text_end")).alias("end")).agg(F.max("score").alias("score"))
 
@@ -115,7 +124,7 @@ def align_pairs(pairs: DataFrame, texts: DataFrame, p: Parameters = Parameters()
     side = lambda k: pairs.select("read_id", F.col(f"seq{k}").alias("seq"), F.length(f"seq{k}").alias("len"))
     both, single = None, None
     for anchor, other in ((1, 2), (2, 1)):
-        found = scored(side(anchor), texts, candidates(side(anchor), texts, p), p)
+        found = scored(side(anchor), texts, candidates(side(anchor), texts, p, p.max_hits), p)
         anchors = found.groupBy("read_id", "ref_id", "rc", (F.col("text_from") + F.col("text_end")).alias("end"), "len").agg(F.max("score").alias("score"))
         alone = reduce.best_two(_hits(found)).select("read_id", "score", "pos", "rc").withColumn("mate", F.lit(anchor))
         single = alone if single is None else single.unionByName(alone)

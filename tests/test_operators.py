@@ -183,3 +183,18 @@ def test_active_rounds(spark):
 def test_presets_score(name):
     m = align.Matrix(["ACGTACGTAC"], ["TTACGTACGTACTT"], preset(name), "semi_global")
     assert m.sinks()[0][0] == (10 * preset(name).match, 12, 10)
+
+
+def test_all_places_of_a_read_in_many_texts(spark):
+    rng = random.Random(9)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    read, tail = dna(60), dna(40)
+    texts = spark.createDataFrame([(i, dna(30) + read + dna(20)) for i in range(150)] + [(150, dna(30) + tail)], "ref_id long, seq string")
+    reads = spark.createDataFrame([(1, read, 60), (2, read[:40] + tail, 80)], "read_id long, seq string, len int")
+    p = aligner.Parameters(seed_length=16)
+    got = aligner.align_all(reads, texts, p).where("read_id = 1 and score = 0").collect()
+    assert sorted((r["ref_id"], r["end"]) for r in got) == [(i, 90) for i in range(150)]
+    # the rarest seeds are kept, with all their places; a seed's places are not cut
+    places = aligner.candidates(reads, texts, p, 1).where("read_id = 2").collect()
+    assert {r["ref_id"] for r in places} == {150}
+    assert aligner.candidates(reads, texts, p, 1).where("read_id = 1").count() == 150
