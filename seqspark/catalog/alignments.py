@@ -85,8 +85,10 @@ def align_reads_all(spark, sf_dir):
 
 @register("align_read_pairs")
 def align_read_pairs(spark, sf_dir):
-    r = reads(spark, sf_dir).where("len >= 100")
-    mates = r.select("read_id", F.substring("seq", 1, 50).alias("seq1"), F.reverse(F.translate(F.substring("seq", -50, 50), "ACGT", "TGCA")).alias("seq2"))
+    """The two halves of every item; those that are too short to align are rows without a place."""
+    half = F.floor(F.col("len") / 2).cast("int")
+    rest = F.substring("seq", half + 1, F.col("len") - half)
+    mates = reads(spark, sf_dir).select("read_id", F.substring("seq", F.lit(1), half).alias("seq1"), F.reverse(F.translate(rest, "ACGT", "TGCA")).alias("seq2"))
     return aligner.align_pairs(mates, sequences(spark, sf_dir), aligner.Parameters(seed_length=16))
 
 

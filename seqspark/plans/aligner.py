@@ -117,7 +117,7 @@ def align_all(reads: DataFrame, texts: DataFrame, p: Parameters = Parameters())
 
 
 def align_pairs(pairs: DataFrame, texts: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """Best pair of every read pair (read_id, seq1, seq2): anchors of either mate, the other scored in its window; mates alone where no pair fits.
+    """Best pair of every read pair (read_id, seq1, seq2): anchors of either mate, the other scored in its window; mates alone where no pair fits, nulls if none.
 
     read_id, paired, ref_id, total, pos1, rc1, score1, pos2, rc2, score2.
     """
@@ -146,7 +146,8 @@ def align_pairs(pairs: DataFrame, texts: DataFrame, p: Parameters = Parameters()
     split = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     paired = best.select("read_id", F.shiftright(F.col("pos"), 32).alias("ref_id"), "total", split("pos").alias("end1"), F.col("rc").alias("rc1"), F.col("score").alias("score1"), split("o_pos").alias("end2"), F.col("o_rc").alias("rc2"), F.col("o_score").alias("score2"))
     one = lambda k: single.where(F.col("mate") == k).select("read_id", split("pos").alias(f"end{k}"), F.col("rc").alias(f"rc{k}"), F.col("score").alias(f"score{k}"))
-    return reduce.pairs_or_singles(paired, one(1).join(one(2), "read_id", "full_outer"), mixed=p.mixed)
+    found = reduce.pairs_or_singles(paired, one(1).join(one(2), "read_id", "full_outer"), mixed=p.mixed)
+    return pairs.select("read_id").join(found, "read_id", "left").withColumn("paired", F.coalesce("paired", F.lit(False)))
 
 
 def records(aligned: DataFrame, reads: DataFrame, contigs: DataFrame, name: str = "read_id") -> DataFrame:

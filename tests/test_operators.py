@@ -198,3 +198,21 @@ def test_all_places_of_a_read_in_many_texts(spark):
     places = aligner.candidates(reads, texts, p, 1).where("read_id = 2").collect()
     assert {r["ref_id"] for r in places} == {150}
     assert aligner.candidates(reads, texts, p, 1).where("read_id = 1").count() == 150
+
+
+def test_read_pairs_are_halves_of_every_item(spark, tmp_path):
+    from seqspark.catalog import alignments
+    from seqspark.operators.derive import reads
+
+    rng = random.Random(4)
+    items = [(i, "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate((240, 99, 20, 0))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [(0, "ACGTTGCA" * 4 + "".join(t for _, t in items[:2])), (1, "TTGACCAT" * 9)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    length = {r["read_id"]: r["len"] for r in reads(spark, str(tmp_path)).collect()}
+    got = {r["read_id"]: r for r in alignments.align_read_pairs(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2, 3}  # every item has a row
+    for i in (0, 1):
+        assert got[i]["paired"] and got[i]["total"] == 0
+        assert got[i]["end2"] - got[i]["end1"] == length[i] - length[i] // 2  # halves that meet
+    assert not got[3]["paired"] and got[3]["score1"] is None and got[3]["score2"] is None
