@@ -111,20 +111,20 @@ def map_exact(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, int
     return seeds(reads, length, interval, retry).join(index, "seed").select("read_id", "ref_id", "rc", "pos_in_read", "pos")
 
 
-def map_one_mismatch(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, first: int | None = None) -> DataFrame:
+def map_one_mismatch(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, first: int | None = None, retry: int = 0) -> DataFrame:
     """Seed hits with an exact first part and at most one substitution in the rest; adds mismatches."""
     head = first or length // 2
     index = kmers(texts, length, out="_t").withColumn("_h", F.substring("_t", 1, head))
-    met = seeds(reads, length, interval).withColumn("_h", F.substring("seed", 1, head)).join(index, "_h")
+    met = seeds(reads, length, interval, retry).withColumn("_h", F.substring("seed", 1, head)).join(index, "_h")
     return met.withColumn("mismatches", hamming(F.col("seed"), F.col("_t"))).where("mismatches <= 1").select("read_id", "ref_id", "rc", "pos_in_read", "pos", "mismatches")
 
 
-def map_approximate(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL) -> DataFrame:
+def map_approximate(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, retry: int = 0) -> DataFrame:
     """Seed hits with at most one substitution anywhere: either half fits exactly; a hit of both halves counts once."""
     half = length // 2
     halves = lambda s: F.explode(F.array(F.struct(F.lit(0).alias("i"), F.substring(s, 1, half).alias("h")), F.struct(F.lit(1).alias("i"), F.substring(s, half + 1, length - half).alias("h"))))
     index = kmers(texts, length, out="_t").withColumn("_k", halves("_t"))
-    met = seeds(reads, length, interval).withColumn("_k", halves("seed")).join(index, "_k").drop("_k").distinct()
+    met = seeds(reads, length, interval, retry).withColumn("_k", halves("seed")).join(index, "_k").drop("_k").distinct()
     return met.withColumn("mismatches", hamming(F.col("seed"), F.col("_t"))).where("mismatches <= 1").select("read_id", "ref_id", "rc", "pos_in_read", "pos", "mismatches")
 
 

@@ -12,7 +12,7 @@ from ..functions.scoring import EDIT, Scheme, band_length, mapq, preset
 from ..functions.symbols import reverse_complement
 from ..operators import lookup, reduce
 from ..operators.align import align_score, align_traceback, extension_window
-from ..operators.filters import MIN_READ_LENGTH
+from ..operators.filters import MIN_READ_LENGTH, needs_reseed
 from ..operators.windows import top_k
 
 
@@ -50,7 +50,8 @@ def rarest_seeds(hits: DataFrame, most: int) -> DataFrame:
 def candidates(reads: DataFrame, texts: DataFrame, p: Parameters, max_hits: int | None = None) -> DataFrame:
     """(read_id, ref_id, rc, pos, n_seeds): every place of a read's seeds, or of its ``max_hits`` rarest seeds in a round.
 
-    Reads without hits are seeded again from shifted places, up to ``max_reseed`` times: an anti-join a round.
+    Reads without hits, or whose seeds have ``rep_seeds`` hits or more on average, are seeded again from shifted places,
+    up to ``max_reseed`` times: an anti-join a round.  Places of all rounds count.
     """
     todo = reads.where(F.col("len") >= p.min_read_length)
     found = None
@@ -58,15 +59,16 @@ def candidates(reads: DataFrame, texts: DataFrame, p: Parameters, max_hits: int
         if p.substitutions == 0:
             hits = lookup.map_exact(todo, texts, p.seed_length, p.seed_interval, retry)
         else:
-            hits = lookup.map_seeds(todo, texts, p.substitutions, p.sub_seed, length=p.seed_length, interval=p.seed_interval).drop("mismatches")
+            hits = lookup.map_seeds(todo, texts, p.substitutions, p.sub_seed, length=p.seed_length, interval=p.seed_interval, retry=retry).drop("mismatches")
+        ranges = hits.groupBy("read_id", "rc", "pos_in_read").agg(F.count("*").alias("_n"))
         if max_hits is not None:
             hits = rarest_seeds(hits, max_hits)
         places = lookup.seed_diagonals(hits)
-        found = places if found is None else found.unionByName(places.join(found.select("read_id").distinct(), "read_id", "left_anti"))
-        if p.substitutions:
-            break
-        todo = todo.join(places.select("read_id").distinct(), "read_id", "left_anti")
-    return found
+        found = places if found is None else found.unionByName(places)
+        if retry < p.max_reseed:
+            seeded = ranges.groupBy("read_id").agg(F.count("*").alias("_c"), F.sum("_n").alias("_s")).where(~needs_reseed(F.col("_c"), F.col("_s"), p.rep_seeds))
+            todo = todo.join(seeded.select("read_id"), "read_id", "left_anti")
+    return found.groupBy("read_id", "ref_id", "rc", "pos").agg(F.sum("n_seeds").alias("n_seeds"))
 
 
 def scored(reads: DataFrame, texts: DataFrame, places: DataFrame, p: Parameters) -> DataFrame:

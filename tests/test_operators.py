@@ -216,3 +216,15 @@ def test_read_pairs_are_halves_of_every_item(spark, tmp_path):
         assert got[i]["paired"] and got[i]["total"] == 0
         assert got[i]["end2"] - got[i]["end1"] == length[i] - length[i] // 2  # halves that meet
     assert not got[3]["paired"] and got[3]["score1"] is None and got[3]["score2"] is None
+
+
+@pytest.mark.parametrize("substitutions", [0, 1])
+def test_reads_of_repeats_are_seeded_again(spark, substitutions):
+    rng = random.Random(6)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    twice, once = dna(30), dna(30)
+    texts = spark.createDataFrame([(0, twice), (1, twice), (2, once)], "ref_id long, seq string")
+    reads = spark.createDataFrame([(1, twice, 30), (2, once, 30)], "read_id long, seq string, len int")
+    n = lambda rep: {(r["read_id"], r["ref_id"]): r["n_seeds"] for r in aligner.candidates(reads, texts, aligner.Parameters(seed_length=16, seed_interval=15, max_reseed=1, rep_seeds=rep, substitutions=substitutions)).where("rc = 0 and pos = 0").collect()}
+    assert n(3) == {(1, 0): 1, (1, 1): 1, (2, 2): 1}
+    assert n(2) == {(1, 0): 2, (1, 1): 2, (2, 2): 1}  # an average of two hits a seed: one more round
