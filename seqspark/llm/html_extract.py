@@ -1,13 +1,19 @@
 """Main-text extraction by tag-path ratios.
 
-A page is a sequence of text nodes, each with its root-to-leaf tag path.  For every path the total text length
-and punctuation over its nodes give two ratios (per node); ratios are smoothed along the page with weights that
-fall with the distance of two paths and taken as shares of the page's best.  Names of article bodies add a bounded
-bonus, and nodes that reach one fixed threshold are content.  Regions whose names or state say that they are not
-the article (menus, adverts, comments, hidden) are left out before: on short pages their ratios are as good as the article's.
+A page is a sequence of text blocks, each with its root-to-leaf path of block elements (inline elements fold into
+their block).  For every path the text length (link texts left out) and punctuation over its blocks give two
+ratios, per block.  Ratios are smoothed along the page with weights that fall with the distance of two paths, and
+fused: text and punctuation, then the path with the container that the block stands in, and a block below another
+takes over a share of the score of the text around it.  Blocks whose fused score reaches a share of the page's
+best, and a fixed floor, are content.
+
+Names (of elements, classes, ids and roles) only weigh: a score is multiplied by more than 1 inside an article and
+by a small number inside menus, adverts, footers, comments and the like.  Hidden elements have no text.
+
+Work is linear in the page, whatever its nesting: paths are nodes of a trie, and open elements are found by name.
 
 Defined results: null or empty html gives an empty text; markup that never closes is read to its end; a page
-without content nodes gives an empty text; repeated rows each get a row; extra columns are ignored.
+without content blocks gives an empty text; repeated rows each get a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import defaultdict
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,32 +36,56 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 CLOSES_P = BLOCK - frozenset("body html head td th tr tbody thead tfoot caption legend summary".split())
-#: An opened element ends an open one of these, up to the stopper.
+#: An opened element ends the open ones of these that are inside the innermost stopper.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("td", "th", "tr"), ("table",)),
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "body": (("head",), ("html",)),
 }
-#: Names of regions that are never the article's text, as elements and as words of class, id and role.
+
+# names that weigh: elements, then whole words of class, id and role, then words that count as part of a hyphenated one
 OFF_TAGS = frozenset("nav header footer aside form button menu dialog head figure label fieldset input".split())
-OFF_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|foot|header|masthead|topbar|comments?|commentlist|disqus|replies|reply|responses|"
-    r"cookies?\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pagination|pager|toolbar|search\w*|copyright|legal|"
-    r"complementary|navigation|banner|contentinfo|hidden|sr-only|skip\w*|tags?|meta)(?=$|[\s_-])",
-    re.I,
+OFF_WORDS = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus menubar breadcrumb breadcrumbs sidebar side-bar side rail footer foot header masthead topbar "
+    "comment comments commentlist comment-list disqus disqus_thread respond reply replies responses discussion cookie cookies cookie-notice cookie-banner consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sign-up login "
+    "share sharing shares social related recommended recommendations widget widgets pagination pager toolbar search searchbox copyright legal complementary contentinfo sr-only skip skip-link tag tags tagcloud meta byline-links form teaser teasers hidden visually-hidden".split()
+)
+OFF_PARTS = frozenset(
+    "ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus reply replies cookie cookies consent gdpr notice notices popup modal overlay newsletter "
+    "subscribe signup login share sharing social related recommended widget widgets pagination pager toolbar".split()
 )
-OFF_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies|related\w*|recommend\w*|teaser)(?=$|[\s_-])", re.I)
 ON_TAGS = frozenset(("article", "main"))
-ON_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|main|content|articlebody|page-content|body-text)(?=$|[\s_-])", re.I)
+ON_WORDS = frozenset("article post entry story main content hentry articlebody article-body post-body post-content entry-content article-content main-content page-content body-text story-body storytext".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<self>/?)(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
-ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
+#: Quotes count only where a value begins; a run is never given back.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|(?P<text>[^<]++|<)", re.S
+)
+ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 PUNCT = re.compile(r"[.,;:!?…](?=\s|\Z)|[。，！？、]")  # at a word's end: not the dots of a host
 SPACE = re.compile(r"\s+")
-SIGMA, REACH, THRESHOLD = 1.0, 2, 0.5
-#: What names add to a node's share of the best ratio, by prior: less than the threshold, so a share decides everywhere.
-BONUS = (0.0, 0.3, 0.45)
+
+#: Smoothing: width, places to either side.  Share of the best score that content reaches, and its floor.
+SIGMA, REACH, THRESHOLD, FLOOR = 1.0, 2, 0.45, 0.5
+#: Weights of names: inside forms and other regions that are off, elsewhere, inside another body, inside an article.
+WEIGHT = {-2: 0.005, -1: 0.005, 0: 1.0, 1: 2.0, 2: 3.0}
+#: What a block keeps of the score of the text around it, by container on the way up.
+SUPPORT, LEVELS = 0.8, 3
+
+
+def name_weight(words: str) -> int:
+    """-1 if the class, id or role words name a region that is off, 1 a body, 0 neither.
+
+    A whole word decides before a part of a hyphenated one: ``post type-post tag-python`` is a body.
+    """
+    tokens = words.lower().split()
+    if any(t in OFF_WORDS for t in tokens):
+        return -1
+    if any(t in ON_WORDS for t in tokens):
+        return 1
+    parts = (p for t in tokens if "-" in t or "_" in t for p in re.split(r"[-_]+", t))
+    return -1 if any(p in OFF_PARTS for p in parts) else 0
 
 
 def _names(attrs: str) -> tuple[str, bool]:
@@ -71,120 +101,209 @@ def _names(attrs: str) -> tuple[str, bool]:
     return " ".join(words), hidden
 
 
-def text_nodes(page: str) -> list[tuple[tuple[str, ...], int, int, str]]:
-    """(path, prior, block, text) in page order.  prior: -1 below a region that isn't the article, 2 in an article element, 1 in another body, 0 elsewhere."""
-    out: list = []
-    stack: list[tuple[str, str, int]] = []  # element, step of the path, prior
-    block, at, n = 0, 0, len(page)
-    while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        if m["text"] is not None:
-            if m["text"].strip() or out:
-                out.append((tuple(s[1] for s in stack), stack[-1][2] if stack else 0, block, m["text"]))
-            continue
-        if m["tag"] is None:
-            continue
-        tag = m["tag"].lower()
-        if m["close"]:
-            if tag in BLOCK:
-                block += 1
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            continue
-        attrs = m["attrs"]
-        words, hidden = _names(attrs) if attrs.strip() else ("", False)
-        if tag in BLOCK:
-            block += 1
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        if tag in IMPLIED:
-            ends, stops = IMPLIED[tag]
-            low = len(stack)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in stops:
-                    break
-                if stack[i][0] in ends:
-                    low = i
-            del stack[low:]
-        if tag == "br" and out:
-            out.append((tuple(s[1] for s in stack), stack[-1][2] if stack else 0, block, " "))
-        if tag in VOID or m["self"] and tag not in BLOCK:
-            continue
-        if tag in RAW:
-            end = RAW_END[tag].search(page, at)
-            at = end.end() if end else n
-            continue
-        prior = stack[-1][2] if stack else 0
-        off = tag in OFF_TAGS and not (tag in ("header", "figure") and prior > 0)
-        if words and tag not in ("body", "html"):
-            off = off or bool((OFF_ARTICLE if tag in ON_TAGS else OFF_WORDS).search(words))
-        if hidden or off or prior < 0:
-            prior = -1
-        elif tag == "article":
-            prior = 2
-        elif prior == 0 and (tag in ON_TAGS or words and tag != "body" and ON_WORDS.search(words)):
-            prior = 1
-        stack.append((tag, f"{tag}.{words}" if words else tag, prior))
-    return out
+class Block:
+    """A run of text: its path (node of the trie), container (element), region, pieces, letters outside and inside of links."""
+
+    __slots__ = ("path", "holder", "region", "number", "parts", "chars", "linked")
+
+    def __init__(self, path: int, holder: int, region: int, number: int):
+        self.path, self.holder, self.region, self.number = path, holder, region, number
+        self.parts: list[str] = []
+        self.chars = self.linked = 0
+
+
+class Page:
+    """Blocks in page order; for each path its parent and depth, for each element its container."""
+
+    def __init__(self, page: str):
+        self.parent, self.depth = [0], [0]
+        self.steps: dict[tuple[int, str], int] = {}
+        self.above = [-1]  # container of each block element; 0 is the page
+        self.blocks: list[Block] = []
+        self._read(page)
+
+    def _step(self, path: int, step: str) -> int:
+        at = self.steps.get((path, step))
+        if at is None:
+            at = self.steps[path, step] = len(self.parent)
+            self.parent.append(path)
+            self.depth.append(self.depth[path] + 1)
+        return at
+
+    def _read(self, page: str) -> None:
+        names: list[str] = []  # open elements
+        state = [(0, 0, 0, 0)]  # of each open element and the page: path, element, region (None: hidden), links open
+        places: dict[str, list[int]] = {}  # where elements of a name are open
+        walls: list[int] = []  # where block elements are open
+        number, at, n = 0, 0, len(page)
+        new = True
+
+        def close(low: int) -> None:
+            while len(names) > low:
+                tag = names.pop()
+                state.pop()
+                places[tag].pop()
+                if walls and walls[-1] == len(names):
+                    walls.pop()
+
+        def add(text: str) -> None:
+            nonlocal new
+            path, holder, region, links = state[-1]
+            if region is None:
+                return
+            last = self.blocks[-1] if self.blocks else None
+            if new or last is None or last.region != region or last.path != path:
+                if not text.strip() and (new or last is None):
+                    return
+                last = Block(path, holder, region, number)
+                self.blocks.append(last)
+                new = False
+            last.parts.append(text)
+            size = len(text.strip())
+            last.chars += size
+            last.linked += size if links else 0
+
+        while at < n:
+            m = TOKEN.match(page, at)
+            at = m.end()
+            if m["text"] is not None:
+                add(m["text"])
+                continue
+            if m["tag"] is None:
+                continue
+            tag = m["tag"].lower()
+            block = tag in BLOCK
+            if block:
+                number, new = number + 1, True
+            if m["close"]:
+                open_at = places.get(tag)
+                if open_at and (block or not walls or open_at[-1] > walls[-1]):  # an inline end doesn't end blocks
+                    close(open_at[-1])
+                continue
+            attrs = m["attrs"]
+            words, hidden = _names(attrs) if attrs.strip("/ \t\n") else ("", False)
+            if tag in CLOSES_P and walls and names[walls[-1]] == "p":
+                close(walls[-1])
+            if tag in IMPLIED:
+                ends, stops = IMPLIED[tag]
+                stop = max((places[s][-1] for s in stops if places.get(s)), default=-1)
+                inside = [p[i] for e in ends if (p := places.get(e)) and (i := bisect_right(p, stop)) < len(p)]
+                if inside:
+                    close(min(inside))
+            if tag == "br":
+                add(" ")
+            if tag in VOID or attrs.endswith("/") and not block:
+                continue
+            if tag in RAW:
+                end = RAW_END[tag].search(page, at)
+                at = end.end() if end else n
+                continue
+            path, holder, region, links = state[-1]
+            if region == -2 and tag in ON_TAGS:  # a form around the whole page
+                region = 0
+            if region is not None and region >= 0:
+                named = name_weight(words) if words and tag not in ("body", "html") else 0
+                if hidden:
+                    region = None
+                elif named < 0 or tag in OFF_TAGS and not (tag in ("header", "figure") and region > 0) and not named > 0:
+                    region = -2 if tag == "form" else -1
+                elif tag == "article":
+                    region = 2
+                elif tag in ON_TAGS or named > 0:
+                    region = max(region, 1)
+            elif hidden:
+                region = None
+            if block:
+                self.above.append(holder)
+                holder = len(self.above) - 1
+                walls.append(len(names))
+            if block or words:
+                path = self._step(path, f"{tag} {words}" if words else tag)
+            places.setdefault(tag, []).append(len(names))
+            names.append(tag)
+            state.append((path, holder, region, links + (tag == "a")))
+
+    def distance(self, a: int, b: int, most: int) -> int:
+        """Steps from one path to the other, or ``most`` if there are more."""
+        steps = 0
+        while a != b and steps < most:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            steps += 1
+        return steps
+
+
+def _fused(chars: float, punct: float) -> float:
+    return math.sqrt(chars * (1 + punct))
 
 
-def _distance(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    """Steps that lead from one path to the other."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
-
-
-def path_scores(nodes: list[tuple[tuple[str, ...], int, int, str]]) -> list[float]:
-    """The fused, smoothed ratio of each node."""
-    total: dict = defaultdict(lambda: [0, 0, 0])
-    for path, prior, _, text in nodes:
-        if prior >= 0 and (size := len(text.strip())):
-            t = total[path]
-            t[0] += 1
-            t[1] += size
-            t[2] += len(PUNCT.findall(html_lib.unescape(text)))
-    ratio = {p: (c / n, q / n) for p, (n, c, q) in total.items()}
-    raw = [ratio.get(path, (0.0, 0.0)) if prior >= 0 else (0.0, 0.0) for path, prior, _, _ in nodes]
+def scores(page: Page) -> list[float]:
+    """The fused, smoothed and weighed ratio of each block."""
+    blocks = page.blocks
+    punct = [len(PUNCT.findall(html_lib.unescape("".join(b.parts)).strip())) if b.chars > b.linked else 0 for b in blocks]
+    # a path's ratios; inside an article link texts are text
+    plain = [float(b.chars if b.region == 2 else b.chars - b.linked) for b in blocks]
+    total: dict[int, list[float]] = {}
+    held: dict[int, list[float]] = {}
+    for b, c, q in zip(blocks, plain, punct, strict=True):
+        if b.chars:
+            for sums, key in ((total, b.path), (held, page.above[b.holder])):
+                t = sums.setdefault(key, [0.0, 0.0, 0.0])
+                t[0], t[1], t[2] = t[0] + 1, t[1] + c, t[2] + q
+    raw = [(t[1] / t[0], t[2] / t[0]) if b.chars and (t := total[b.path]) else (0.0, 0.0) for b in blocks]
+    # smoothed along the page, fused with the ratios of the container
+    far = REACH + 4
+    own = []
+    for i, b in enumerate(blocks):
+        weight, c, q = 1.0, *raw[i]
+        for j in range(max(0, i - REACH), min(len(blocks), i + REACH + 1)):
+            if j != i and blocks[j].region == b.region:
+                w = math.exp(-((abs(i - j) + page.distance(b.path, blocks[j].path, far)) ** 2) / (2 * SIGMA**2))
+                weight, c, q = weight + w, c + w * raw[j][0], q + w * raw[j][1]
+        s = _fused(c / weight, q / weight)
+        if b.chars:
+            t = held[page.above[b.holder]]
+            s = math.sqrt(s * _fused(t[1] / t[0], t[2] / t[0]))
+        own.append(s * WEIGHT[b.region] if b.chars else 0.0)
+    # the score of a container is that of the text right inside it, by size
+    inside: dict[int, list[float]] = {}
+    for b, s in zip(blocks, own, strict=True):
+        if b.chars:
+            for key in {b.holder, page.above[b.holder]}:
+                t = inside.setdefault(key, [0.0, 0.0])
+                t[0], t[1] = t[0] + b.chars, t[1] + s * b.chars
     out = []
-    for i, (path, prior, _, _) in enumerate(nodes):
-        if prior < 0:
-            out.append(-1.0)
+    for b, s, c in zip(blocks, own, plain, strict=True):
+        if not b.chars or b.region < 0:
+            out.append(s)
             continue
-        weight = chars = punct = 0.0
-        for j in range(max(0, i - REACH), min(len(nodes), i + REACH + 1)):
-            if nodes[j][1] >= 0:
-                w = math.exp(-((abs(i - j) + _distance(path, nodes[j][0])) ** 2) / (2 * SIGMA**2)) if j != i else 1.0
-                weight, chars, punct = weight + w, chars + w * raw[j][0], punct + w * raw[j][1]
-        out.append(math.log1p(chars / weight) * (1 + math.log1p(punct / weight)))
+        best, keep, at = s, c / b.chars, page.above[b.holder]
+        for _ in range(LEVELS):
+            if at < 0:
+                break
+            keep *= SUPPORT
+            if at in inside:
+                best = max(best, keep * inside[at][1] / inside[at][0])
+            at = page.above[at]
+        out.append(best)
     return out
 
 
 def extract(page: str | None) -> str:
     """The article's blocks, one a line."""
-    nodes = text_nodes(page) if page else []
-    if not nodes:
+    parsed = Page(page) if page else None
+    if not parsed or not parsed.blocks:
         return ""
-    scores = path_scores(nodes)
-    # fuse: a path's smoothed ratio as a share of the page's best, plus the bonus of its names; one threshold for all pages
-    best = max(scores) or 1.0
-    blocks: dict[int, list[str]] = {}
-    for s, (_, prior, block, text) in zip(scores, nodes, strict=True):
-        if prior >= 0 and s / best + BONUS[prior] >= THRESHOLD:
-            blocks.setdefault(block, []).append(text)
-    lines = (SPACE.sub(" ", html_lib.unescape("".join(b))).strip() for b in blocks.values())
-    return "\n".join(x for x in lines if x)
+    found = scores(parsed)
+    least = max(FLOOR, THRESHOLD * max(found))
+    lines: dict[int, list[str]] = {}
+    for s, b in zip(found, parsed.blocks, strict=True):
+        if s >= least:
+            lines.setdefault(b.number, []).extend(b.parts)
+    texts = (SPACE.sub(" ", html_lib.unescape("".join(b))).strip() for b in lines.values())
+    return "\n".join(x for x in texts if x)
 
 
 def _extractor():

@@ -286,11 +286,57 @@ def test_html_on_sample_pages():
         assert html_extract.extract(page) == "\n".join(p for p in parts if p)
 
 
+LONG = "A long paragraph, with words; and more of them. It goes on, for a while, as such texts do."
+P = f"<p>{LONG}</p>"
+
+
+def sample_pages():
+    return [p for _, p in duckdb.connect().execute(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall()]
+
+
+def test_html_ratios_decide(monkeypatch):
+    pages = sample_pages()
+    as_is = [html_extract.extract(p) for p in pages]
+    plain = [html_extract.extract(p.replace("<article>", "<div>").replace("</article>", "</div>")) for p in pages]
+    assert sum(a == b for a, b in zip(as_is, plain, strict=True)) > 0.95 * len(pages)  # without the mark of the article
+    monkeypatch.setattr(html_extract, "scores", lambda page: [0.0] * len(page.blocks))
+    assert all(html_extract.extract(p) == "" for p in pages)  # nothing else selects
+
+
 def test_html_ratios_decide_on_marked_pages():
-    long = "<p>A long paragraph, with words; and more of them.</p>" * 3
-    got = html_extract.extract(f"<div class=content><i>x</i>{long}</div><section><p>An unmarked one, as long; and with marks, too.</p></section><div><a>Home</a></div>").split("\n")
-    assert "An unmarked one, as long; and with marks, too." in got  # a good ratio outside the mark
-    assert "x" not in got and "Home" not in got and len(got) == 4  # poor ones in and outside
-    # an article's short lines stay, names that are off never come in
-    assert html_extract.extract(f"<article><h1>Head</h1>{long}</article><div class=ad><p>An advert, as long as the text; with marks.</p></div>").split("\n")[0] == "Head"
-    assert "advert" not in html_extract.extract(f"<article>{long}</article><div class=ad><p>An advert, as long as the text; with marks.</p></div>")
+    # a good ratio outside the mark counts, poor ones outside don't
+    got = html_extract.extract(f"<div class=content><i>x</i>{P * 3}</div><section><p>{LONG * 12}</p></section><div><a>Home</a></div><div>Fine.</div>").split("\n")
+    assert LONG * 12 in got and "Home" not in got and "Fine." not in got
+    # an article's short lines stay, names that are off weigh next to nothing
+    assert html_extract.extract(f"<article><h1>Head</h1>{P}</article><div class=ad>{P * 9}</div>") == f"Head\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="post-42 post type-post tag-python"><h2>Title</h2>{P}<ul><li>one<li>two</ul></div><div id=comments><div class="comment post-author">{P * 3}</div></div>', ["Title", LONG, "one", "two"]),
+        (f"<nav><a href=/it's>It</a></nav><article><p>See <a href=/don't>this</a> now.</p>{P}</article><div><a href='x'>y</a></div>", ["See this now.", LONG]),
+        (f"<main></main><article><h1>H</h1>{P}</article>", ["H", LONG]),
+        (f"<main><p>Loading.</p></main><article><h1>H</h1>{P}</article>", ["H", LONG]),
+        (f"<article>{P}<section class='comments'>{P * 5}</section><div class='share-buttons'>Share this</div></article>", [LONG]),
+        (f"<main>{P}<table><tr><td>a<td>b<tr><td>c</table><pre>code\n x</pre><blockquote><p>Quote it.</p></blockquote></main>", [LONG, "a", "b", "c", "code x", "Quote it."]),
+        (f"<div class=x1><ul><li><a>Home</a></li></ul></div><div class=x2><h1>Head</h1>{P * 2}<p>Short.</p></div><div class=x3><a>Terms</a> | <a>Imprint</a></div>", ["Head", LONG, LONG, "Short."]),
+        (f"<form><main><h1>H</h1>{P}</main><input></form><form><p>Mail, please; now.</p></form>", ["H", LONG]),
+        (f"<article>{P}<div style='display: none'>{P}</div><p hidden>no</p><p>D&eacute;j&agrave;&nbsp; vu &lt;b&gt;</p></article>", [LONG, "Déjà vu <b>"]),
+        (f"<div class=comments>{P * 10}</div><footer>{P}</footer>", [""]),
+    ],
+)
+def test_html_templates(page, want):
+    assert html_extract.extract(f"<html><body>{page}</body></html>").split("\n") == want
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<b>", "<li>", "<div><li>", "<p><i>", "<table><tr><td>", "<a href='", '<a x="'])
+def test_html_deep_pages_in_linear_time(opened):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        html_extract.extract((opened + "x ") * n + "</p></b></div>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.05)
