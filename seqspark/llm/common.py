@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "seqspark-checkpoints")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # what nobody has dropped goes with the driver
+    for paths in _TRACKED.get():
+        paths.append(path)
+    return path
+
+
+#: Lists that gather the folders made while they are open.
+_TRACKED: ContextVar[tuple[list[str], ...]] = ContextVar("_TRACKED", default=())
+
+
+@contextmanager
+def tracked():
+    """A list of the folders that :func:`shared_dir` names within the block."""
+    paths: list[str] = []
+    token = _TRACKED.set((*_TRACKED.get(), paths))
+    try:
+        yield paths
+    finally:
+        _TRACKED.reset(token)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,6 +68,36 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it new among the columns of ``df`` (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_row(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name``: a row's file and its place there, the same however often and in what splits the rows are read.
+
+    Numbers that Spark gives out while it runs depend on the splits, and these on the executors at hand.  What isn't
+    a plain scan of Parquet files is written to the shared folder first.
+    """
+    for df in (docs, None):
+        df = cut(docs) if df is None else df
+        if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+            continue
+        meta = df.metadataColumn("_metadata")
+        try:
+            return df.select("*", F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("place")).alias(name))
+        except AnalysisException:  # files of another format have no row_index
+            continue
+    raise AssertionError("a Parquet table has rows in files")
+
+
 def drop_path(spark: SparkSession, df_or_path) -> None:
     """Delete what :func:`cut` wrote."""
     paths = [df_or_path] if isinstance(df_or_path, str) else list({os.path.dirname(f) for f in df_or_path.inputFiles()})

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table, with_row
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same once A-Z are lower case: the usual letters are tested first, and a run is never given back.
@@ -96,12 +96,17 @@ def hits(docs: DataFrame, items: DataFrame, broadcast: bool, lengths: list[int])
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for every row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def contamination(docs: DataFrame, benchmark: DataFrame, row: str | None = None) -> DataFrame:
+    """One row for every row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    ``row`` names a column that tells rows apart, which comes back too; without one it is a row's place in its file.
+    """
+    at = row or fresh(docs, "_row")[0]
+    keyed = (docs if row else with_row(docs, at)).select(F.col(at).alias("_row"), "doc_id", "text")
     items = benchmark.select("item_id", words(F.col("text")).alias("_w"))
     sized = benchmark.select(F.octet_length("text").alias("bytes"), F.size(words(F.col("text"))).alias("n"))
     total, lengths = sized.agg(F.sum("bytes"), F.array_sort(F.collect_set(F.when((F.col("n") > 0) & (F.col("n") < WINDOW), F.col("n"))))).first()
-    listed = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", words(F.col("text")).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
+    listed = keyed.select("_row", "doc_id", words(F.col("text")).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
     found = hits(listed, items, (total or 0) <= BROADCAST_BYTES, lengths)
     # a document's spans are at most as many as its words: gathering them is bounded by its own length
     spans = F.array_sort(F.collect_set(F.when(F.col("_ok"), F.struct("_from", "_to"))))
@@ -109,12 +114,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     covered = F.aggregate("_spans", start, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["_to"] - F.greatest(x["_from"], a["to"]))).alias("n"), F.greatest(a["to"], x["_to"]).alias("to")))["n"]
     out = per.withColumn("n_hit", covered.cast("long"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select(*([F.col("_row").alias(row)] if row else []), "doc_id", "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: all documents against all benchmark items."""
-    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 ORACLE = r"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import ann, decontaminate, html_extract, language_id, mixing, quality, secret_scan, simhash, token_counts, toxicity
 
 QUERIES = {
@@ -17,9 +15,6 @@ QUERIES = {
     "op8_nearest_neighbours": ann.query,
     "op9_decontamination": decontaminate.query,
     "op10_language_id": language_id.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op2_source_mixing": mixing.ORACLE, "op9_decontamination": decontaminate.ORACLE}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -16,7 +16,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import fresh, map_texts, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
@@ -146,7 +146,8 @@ def _redactor():
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text`` (n_chars follows where it exists); all rows and columns stay."""
-    out = map_texts(docs, _redactor, [("_masked", "string")]).withColumnRenamed("_masked", "text")
+    masked, = fresh(docs, "_masked")
+    out = map_texts(docs, _redactor, [(masked, "string")]).withColumnRenamed(masked, "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
     return out.select(*docs.columns)
