@@ -4,7 +4,7 @@ A byte embedding feeds filters of several widths; each filter is max-pooled over
 softmax layer maps the pooled values to languages.  A text is cut into consecutive windows over its whole UTF-8
 form; its log-probabilities are the mean over its windows.
 
-Defined results: null texts and texts without a letter give ``und`` with score 0; rows with a null ``lang`` are
+Defined results: null texts and texts without a letter (Unicode category L) give ``und`` with score 0; rows with a null ``lang`` are
 predicted but not learned from; an empty training set predicts ``und`` for all; repeated rows each get a row;
 extra columns are ignored.
 """
@@ -15,15 +15,15 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, lowest_ids, map_texts, pick, table
+from .common import held_out, map_texts, table
 
-LETTER = re.compile(r"[^\W\d_]")
+MAYBE_LETTER = re.compile(r"[^\W\d_]")
 WIDTHS = (2, 3, 4)
-#: Bound of the training sample, and bytes and windows taken from each of its documents.
-SAMPLE, WINDOWS_PER_DOC = 4000, 4
+#: Bound of the training sample: documents of each language, whole.
+PER_LANG = 600
 LENGTH, EMBED, FILTERS = 96, 8, 8
 
 
@@ -39,6 +39,11 @@ class ByteCnn:
     out_b: np.ndarray
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter (category L); the first candidate nearly always is."""
+    return any(m[0].isalpha() for m in MAYBE_LETTER.finditer(text))
+
+
 def windows(raw: bytes, length: int = LENGTH) -> np.ndarray:
     """All bytes in consecutive rows of ``length``; the last row starts earlier so that it is full, short texts are padded with spaces."""
     x = np.frombuffer(raw, np.uint8)
@@ -54,8 +59,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 400, batch: int = 64, seed: int = 3) -> ByteCnn:
-    """Adam on cross-entropy.  x: windows (n, length) uint8; y: class numbers."""
+def train(x: np.ndarray, y: np.ndarray, langs: list[str], weight: np.ndarray, steps: int = 400, batch: int = 64, seed: int = 3) -> ByteCnn:
+    """Adam on cross-entropy.  x: windows (n, length) uint8; y: class numbers; weight: how often a window is drawn, adding up to 1."""
     rng = np.random.default_rng(seed)
     n_lang = len(langs)
     p = {"emb": rng.normal(0, 0.5, (256, EMBED)), "out": rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, n_lang)), "out_b": np.zeros(n_lang)}
@@ -63,11 +68,8 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 400, batc
         p[f"c{w}"], p[f"b{w}"] = rng.normal(0, 1 / np.sqrt(w * EMBED), (w * EMBED, FILTERS)), np.zeros(FILTERS)
     p = {k: a.astype(np.float32) for k, a in p.items()}
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
-    counts = np.bincount(y, minlength=n_lang)
-    weight = (1 / np.maximum(counts, 1))[y]
-    weight /= weight.sum()
     for t in range(1, steps + 1):
-        pickd = rng.choice(len(x), batch, p=weight)  # every language equally often
+        pickd = rng.choice(len(x), batch, p=weight)
         xb, yb = x[pickd], y[pickd]
         e = p["emb"][xb]
         pooled, keep = [], []
@@ -130,7 +132,7 @@ def predict_texts(model: ByteCnn | None, texts: list[str | None], run=None, bloc
     run = run or predictor(model)
     rows, owner = [], []
     for i, t in enumerate(texts):
-        if t and LETTER.search(t):
+        if t and has_letter(t):
             rows.append(windows(t.encode("utf-8", "replace")))
             owner.append(i)
     if not rows:
@@ -145,29 +147,30 @@ def predict_texts(model: ByteCnn | None, texts: list[str | None], run=None, bloc
     return langs, scores
 
 
-def fit(docs: DataFrame, bound: int = SAMPLE) -> ByteCnn | None:
-    """Learn from ``text`` and ``lang`` of at most ``bound`` documents (lowest seeded id hashes)."""
+def fit(docs: DataFrame, bound: int = PER_LANG) -> ByteCnn | None:
+    """Learn from ``text`` and ``lang`` of at most ``bound`` documents of each language (lowest seeded id hashes), from all their windows.
+
+    Every language is drawn equally often, and every document of a language.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit(7), F.col("_id")), "_id")
+    ids = usable.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= bound).drop("_n")
+    chosen = usable.join(F.broadcast(ids), (usable["doc_id"] == ids["_id"]) & (usable["lang"] == ids["_lang"]), "left_semi")
 
     def cutter():
-        def run(texts):
-            out = []
-            for t in texts:
-                w = windows(t.encode("utf-8", "replace"))
-                out.append(w[np.linspace(0, len(w) - 1, min(len(w), WINDOWS_PER_DOC)).astype(int)].tobytes())
-            return [out]
-
-        return run
+        return lambda texts: [[windows(t.encode("utf-8", "replace")).tobytes() for t in texts]]
 
-    got = map_texts(pick(usable, lowest_ids(usable, "doc_id", bound)).select("doc_id", "lang", "text"), cutter, [("w", "binary")])
+    got = map_texts(chosen.select("doc_id", "lang", "text"), cutter, [("w", "binary")])
     got = got.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     if not got.num_rows:
         return None
     names = got.column("lang").to_pylist()
     langs = sorted(set(names))
     rows = [np.frombuffer(b, np.uint8).reshape(-1, LENGTH) for b in got.column("w").to_pylist()]
-    y = np.repeat([langs.index(n) for n in names], [len(r) for r in rows])
-    return train(np.vstack(rows), y, langs)
+    y, sizes = np.array([langs.index(n) for n in names]), np.array([len(r) for r in rows])
+    weight = np.repeat(1 / (len(langs) * np.bincount(y)[y] * sizes), sizes)
+    return train(np.vstack(rows), np.repeat(y, sizes), langs, weight / weight.sum())
 
 
 def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
