@@ -15,13 +15,13 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold, held_out, lowest_ids, map_texts, pick, table
 
-#: Bounds of the fitting sample: positives and unlabelled documents.
-MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
+#: Bounds of the fitting sample: positives and unlabelled documents, and bytes of the word sets of either.
+MAX_POSITIVE, MAX_UNLABELLED, MAX_BYTES = 4000, 12000, 64 << 20
 BITS, MAX_FEATURES = 20, 2048
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -120,7 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     positives = lowest_ids(known.where("toxic = 1"), "doc_id", MAX_POSITIVE).withColumn("_pos", F.lit(True))
     unlabelled = lowest_ids(docs, "doc_id", MAX_UNLABELLED).withColumn("_pos", F.lit(False))
     chosen = pick(docs.select("doc_id", "text"), positives.unionByName(unlabelled)).select("doc_id", "_pos", "text")
-    got = map_texts(chosen, lambda: lambda texts: [[hashed_words(t).tobytes() for t in texts]], [("words", "binary")]).toArrow()
+    sets = map_texts(chosen, lambda: lambda texts: [[hashed_words(t).tobytes() for t in texts]], [("words", "binary")])
+    # of a sample of very long texts as many as the driver holds, by the same order; at most 16,000 rows meet here
+    upto = Window.partitionBy("_pos").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "words").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sets = sets.withColumn("_upto", F.sum(F.octet_length("words")).over(upto))
+    got = sets.where(F.col("_upto") <= MAX_BYTES).drop("_upto").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("_pos", "ascending")])
     rows = [np.frombuffer(x, np.int32) for x in got.column("words").to_pylist()]
     return train(rows, np.array(got.column("_pos").to_pylist(), bool), toxic / n)
