@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, shared_dir, table
+from .common import cut, fresh, shared_dir, table, with_row
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 _LOADED: dict[str, object] = {}
@@ -70,24 +70,34 @@ def _encode_batches(name: str, max_chars: int = 1 << 20):
     return run
 
 
+#: A digest with more than this share of the rows is joined by broadcast: there are fewer than 1 / HOT of them.
+HOT = 1 / 1000
+
+
 def token_counts(docs: DataFrame, name: str, cache: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; ``cache`` is a parquet folder that may not exist yet.
 
-    Normalising maps null to the empty text and nothing else: any further change could alter a count.
+    Normalising maps null to the empty text and nothing else: any further change could alter a count.  Digests meet
+    the cache first; texts are fetched only for one row of each digest that it lacks.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path(name))
+    row, = fresh(docs, "_row")
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    slim = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    # one text a digest: partial aggregation leaves a row for each digest and task, whatever the size of a group of copies
-    one = keyed.groupBy("digest").agg(F.any_value("text").alias("text"))
-    misses = one.join(known, "digest", "left_anti")
-    fresh = misses.select("digest", "text").mapInPandas(_encode_batches(name), "digest binary, n_tokens long")
-    fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    return slim.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    placed = with_row(docs, row).select(F.col(row).alias("row"), "doc_id", text.alias("text"))
+    slim = cut(placed.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest")))
+    # one row a digest: partial aggregation leaves a row for each digest and task, whatever the size of a group of copies
+    digests = cut(slim.groupBy("digest").agg(F.count("*").alias("n"), F.min("row").alias("row")))
+    known = lambda: read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
+    misses = digests.join(known(), "digest", "left_anti").select("row", "digest")
+    fresh_counts = placed.select("row", "text").join(misses, "row").select("digest", "text").mapInPandas(_encode_batches(name), "digest binary, n_tokens long")
+    fresh_counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    counts = known()
+    total = digests.agg(F.sum("n")).first()[0] or 0
+    hot = digests.where(F.col("n") > HOT * total).select("digest")
+    often = slim.join(F.broadcast(counts.join(F.broadcast(hot), "digest", "left_semi")), "digest")
+    rest = slim.join(F.broadcast(hot), "digest", "left_anti").join(counts, "digest")
+    return often.unionByName(rest).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
