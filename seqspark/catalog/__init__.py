@@ -2,11 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignments, indexes, lookups, records, symbols
+from . import alignments, files, indexes, lookups, records, symbols
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (symbols, indexes, lookups, alignments, records):
+for _module in (symbols, indexes, lookups, alignments, records, files):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
 

@@ -117,7 +117,15 @@ def best2_distinct(spark, sf_dir):
     return reduce.best_two(hits(spark, sf_dir))
 
 
-@register("best2_budget")
+@register("best2_budget", f"""WITH RECURSIVE h AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY ord) AS n FROM {HITS} QUALIFY n <= 400),
+  r AS (SELECT read_id, n, score AS bs, pos AS bp, rc AS br, NULL::BIGINT AS cs, NULL::BIGINT AS cp, NULL::INT AS cr, 0 AS fails, false AS over FROM h WHERE n = 1 UNION ALL
+    SELECT read_id, n, CASE WHEN up THEN score ELSE bs END, CASE WHEN up THEN pos ELSE bp END, CASE WHEN up THEN rc ELSE br END,
+           CASE WHEN up AND apart THEN bs WHEN two THEN score ELSE cs END, CASE WHEN up AND apart THEN bp WHEN two THEN pos ELSE cp END, CASE WHEN up AND apart THEN br WHEN two THEN rc ELSE cr END,
+           CASE WHEN again THEN fails WHEN up OR two THEN 0 ELSE fails + 1 END, NOT again AND NOT up AND NOT two AND fails + 1 >= 15 AND n >= 30
+    FROM (SELECT *, NOT again AND score > bs AS up, NOT again AND score <= bs AND apart AND (cs IS NULL OR score > cs) AS two
+      FROM (SELECT r.*exclude(n), h.n, h.score, h.pos, h.rc, coalesce(h.pos = bp AND h.rc = br, false) OR coalesce(h.pos = cp AND h.rc = cr, false) AS again, h.rc <> br OR abs(h.pos - bp) > 25 AS apart
+            FROM r JOIN h ON h.read_id = r.read_id AND h.n = r.n + 1 WHERE NOT over)))
+  SELECT read_id, bs AS score, bp AS pos, br AS rc, cs AS second_score, cp AS second_pos, cr AS second_rc, n::INT AS extensions FROM r QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY n DESC) = 1""")
 def best2_budget(spark, sf_dir):
     return reduce.best_two_with_budget(hits(spark, sf_dir))
 
@@ -145,16 +153,146 @@ def target_scores(spark, sf_dir):
     return o.select("o_orderkey", reduce.target_score(b, s, F.lit(-60)).alias("target"))
 
 
-@register("mate_windows")
+def _mate_sql() -> str:
+    cols = []
+    for mode in ("ff", "fr", "rf", "rr"):
+        left = "NOT rc" if mode in ("rr", "rf") else "rc"
+        turned = "rc" if mode in ("ff", "rr") else "NOT rc"
+        cols += [f"CASE WHEN {left} THEN greatest(pos + 50 - 500, 0) ELSE pos END::INT AS {mode}_begin", f"CASE WHEN {left} THEN pos + 50 ELSE pos + 500 END::INT AS {mode}_end", f"{turned} AS {mode}_rc"]
+    return f"SELECT o_orderkey, {', '.join(cols)} FROM (SELECT o_orderkey, (o_orderkey * 17 % 10000)::INT AS pos, o_orderkey % 2 = 1 AS rc FROM orders)"
+
+
+@register("mate_windows", _mate_sql())
 def mate_windows(spark, sf_dir):
     from ..operators.lookup import mate_window
 
     k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", (k * 17 % 10000).cast("int").alias("pos"), (k % 2 == 1).alias("rc"))
-    return o.select("o_orderkey", *(mate_window(F.col("pos"), F.lit(50), F.col("rc"), F.lit(60), m).alias(m) for m in ("ff", "fr", "rf", "rr")))
+    modes = ("ff", "fr", "rf", "rr")
+    o = o.select("o_orderkey", *(mate_window(F.col("pos"), F.lit(50), F.col("rc"), F.lit(60), m).alias(m) for m in modes))
+    return o.select("o_orderkey", *(F.col(f"{m}.{f}").alias(f"{m}_{f}") for m in modes for f in ("begin", "end", "rc")))
 
 
-@register("active_states", f"SELECT read_id, count(*) FILTER (score <= -15) AS far, count(*) AS n FROM {HITS} GROUP BY read_id")
+@register("active_states", f"SELECT read_id, min(ord % 5)::INT AS round, true AS finished FROM {HITS} WHERE score >= -15 AND ord % 5 < 4 GROUP BY read_id")
 def active_states(spark, sf_dir):
+    """Rounds over reads that are still open: a round looks at a fifth of the hits, a read is done at its first good one."""
+    from ..streaming.reads import active_rounds
+    from .files import folder
+
     h = hits(spark, sf_dir)
-    return h.groupBy("read_id").agg(F.count_if(F.col("score") <= -15).alias("far"), F.count("*").alias("n"))
+
+    def keep(df):
+        path = folder(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def step(todo, n):
+        return h.where(((F.col("ord") % 5) == n) & (F.col("score") >= -15)).join(todo, "read_id", "left_semi").select("read_id", F.lit(n).alias("round")).distinct()
+
+    return active_rounds(h.select("read_id").distinct(), step, 4, keep)
+
+
+@register("streamed_scores", f"SELECT read_id, max(score) AS best, max(score) FILTER (score < top) AS second, count(*) AS seen FROM (SELECT *, max(score) OVER (PARTITION BY read_id) AS top FROM {HITS}) GROUP BY read_id")
+def streamed_scores(spark, sf_dir):
+    """The state of every read after four micro-batches."""
+    from ..streaming.reads import best_score_state
+    from .files import folder
+
+    source, out = folder(spark), folder(spark)
+    h = hits(spark, sf_dir).select("read_id", "score")
+    h.repartition(4).write.parquet(f"{source}/in")
+    stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/in")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    best_score_state(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{source}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("read_id long, best long, second long, seen long").parquet(f"{out}/batch=*")
+    return found.groupBy("read_id").agg(F.max_by(F.struct("best", "second"), "seen").alias("_s"), F.max("seen").alias("seen")).select("read_id", "_s.best", "_s.second", "seen")
+
+
+@register("streamed_reads", f"SELECT read_id, len::INT AS len FROM ({READS_SQL})")
+def streamed_reads(spark, sf_dir):
+    from ..streaming.reads import align_stream, read_stream
+    from .files import folder
+
+    path = folder(spark)
+    reads(spark, sf_dir).select("read_id", "seq", F.col("len").cast("int").alias("len")).repartition(3).write.parquet(f"{path}/in")
+    align_stream(read_stream(spark, f"{path}/in"), lambda batch: batch.select("read_id", "len"), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.schema("read_id long, len int").parquet(f"{path}/out/batch=*")
+
+
+# --- the alignment matrix in SQL ---------------------------------------------------------------------------------------------
+
+
+def cells_sql(scheme, mode: str, band: int | None = None) -> str:
+    """CTEs p (pairs) and c (pair_id, i, j, h, e, f, dir, ee, ef): every cell of each pair's matrix, one text row an iteration."""
+    ins0, ins1, del0, del1 = scheme.pattern_open, scheme.pattern_extend, scheme.text_open, scheme.text_extend
+    low = "(-100000000)::BIGINT"
+    local = mode == "local"
+    top = "0" if local else f"CASE WHEN j = 0 THEN 0 ELSE {ins0} + {ins1} * (j - 1) END"
+    side = f"{del0} + {del1} * i" if mode == "global" else "0"  # of row i + 1
+    inside = f"AND j <= i + 1 AND j > i + 1 - {band}" if band else ""
+    first = f"AND j <= 0 AND j > -{band}" if band else ""
+    t = "greatest(diag, f, 0)" if local else "greatest(diag, f)"
+    stop = "WHEN h = 0 THEN 0 " if local else ""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT pair_id, pattern, text, length(pattern) AS m, length(text) AS n FROM ({PAIRS_SQL})),
+  c AS (SELECT pair_id, 0 AS i, j, ({top})::BIGINT AS h, {low} AS e, {low} AS f, 0 AS dir, false AS ee, false AS ef FROM (SELECT pair_id, unnest(range(0, m + 1)) AS j FROM p) WHERE true {first}
+   UNION ALL
+   SELECT pair_id, i, j, h, e, f, CASE {stop}WHEN j = 0 THEN 0 WHEN diag >= greatest(e, f) THEN 1 WHEN e > f THEN 2 WHEN f > e THEN 3 ELSE {3 if band else 2} END,
+          coalesce(lag(e) OVER w + {ins1} > lag(h) OVER w + {ins0}, false), ef
+   FROM (SELECT *, CASE WHEN j = 0 THEN t ELSE greatest(t, e) END AS h FROM (SELECT *, CASE WHEN j = 0 THEN {low} ELSE coalesce(max(t - {ins1} * j) OVER (PARTITION BY pair_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {ins0} + {ins1} * (j - 1), {low}) END AS e
+     FROM (SELECT pair_id, i + 1 AS i, j, diag, f, ef, (CASE WHEN j = 0 THEN {side} ELSE {t} END)::BIGINT AS t
+       FROM (SELECT pair_id, i, j, coalesce(hd, {low}) + CASE WHEN substr(pattern, j::INT, 1) = substr(text, i + 1, 1) THEN {scheme.match} ELSE {scheme.mismatch_max} END AS diag,
+              CASE WHEN j = 0 THEN {low} ELSE greatest(h + {del0}, f + {del1}) END AS f, f + {del1} > h + {del0} AS ef
+         FROM (SELECT k.pair_id, k.i, k.j, coalesce(a.h, {low}) AS h, coalesce(a.f, {low}) AS f, b.h AS hd
+               FROM (SELECT pair_id, i, unnest(range(0, m + 1)) AS j FROM (SELECT pair_id, max(i) AS i FROM c GROUP BY pair_id) JOIN p USING (pair_id) WHERE i < n) k
+               LEFT JOIN c a ON a.pair_id = k.pair_id AND a.j = k.j LEFT JOIN c b ON b.pair_id = k.pair_id AND b.j = k.j - 1) JOIN p USING (pair_id) WHERE true {inside}))))
+   WINDOW w AS (PARTITION BY pair_id ORDER BY j))"""
+
+
+def ends_sql(mode: str, band: int | None = None) -> str:
+    """CTE s (pair_id, score, i, j): the cells where an alignment may end, in a local matrix the best of each row."""
+    if mode == "global":
+        where = "c.i = p.n AND c.j = p.m"
+    elif mode == "semi_global":
+        where = "c.j = p.m AND (c.i > 0 OR p.m = 0)" + (" AND p.n >= p.m" if band else "")
+    else:
+        return "s AS (SELECT pair_id, max(h) AS score, i, arg_max(j, h * 100000 + j) AS j FROM c GROUP BY pair_id, i)"
+    return f"s AS (SELECT c.pair_id, c.h AS score, c.i, c.j FROM c JOIN p USING (pair_id) WHERE {where} AND c.h > -50000000)"
+
+
+def score_sql(scheme, mode: str) -> str:
+    return f"""{cells_sql(scheme, mode)}, {ends_sql(mode)},
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, i DESC, j DESC) = 1),
+  o AS (SELECT s.* FROM s JOIN b USING (pair_id) WHERE s.i <> b.i QUALIFY row_number() OVER (PARTITION BY s.pair_id ORDER BY s.score DESC, s.i DESC, s.j DESC) = 1)
+  SELECT pair_id, b.score::INT AS score, b.i::INT AS text_end, b.j::INT AS pattern_end, o.score::INT AS second_score, o.i::INT AS second_end FROM p LEFT JOIN b USING (pair_id) LEFT JOIN o USING (pair_id)"""
+
+
+def traceback_sql(scheme, mode: str, band: int | None = None) -> str:
+    """Steps from the best end along the directions; operations and the symbols of the MD string are gathered from them."""
+    tail = "''" if mode == "local" else "repeat('I', j::INT)" + (" || repeat('D', i::INT)" if mode == "global" else "")
+    i0, j0 = "i" if mode != "global" else "0", "j" if mode == "local" else "0"
+    alone = "CASE WHEN score IS NOT NULL THEN coalesce({}, 0) END::INT".format
+    runs = "array_to_string(list_transform(regexp_extract_all({}, 'M+|I+|D+'), lambda x: length(x) || substr(x, 1, 1)), '')"
+    return f"""{cells_sql(scheme, mode, band)}, {ends_sql(mode, band)},
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, i DESC, j DESC) = 1),
+  w AS (SELECT pair_id, i, j, 'h' AS st, '' AS ops, 0 AS n FROM b UNION ALL
+    SELECT pair_id, CASE WHEN st IN ('m', 'f') THEN i - 1 ELSE i END, CASE WHEN st IN ('m', 'e') THEN j - 1 ELSE j END,
+           CASE WHEN st = 'e' AND ee THEN 'e' WHEN st = 'f' AND ef THEN 'f' ELSE 'h' END, ops || CASE st WHEN 'm' THEN 'M' WHEN 'e' THEN 'I' ELSE 'D' END, n + 1
+    FROM (SELECT w.pair_id, w.i, w.j, ops, n, ee, ef, CASE WHEN st <> 'h' THEN st WHEN dir = 1 THEN 'm' WHEN dir = 2 THEN 'e' WHEN dir = 3 THEN 'f' END AS st FROM w JOIN c ON c.pair_id = w.pair_id AND c.i = w.i AND c.j = w.j WHERE w.i > 0 AND w.j > 0) WHERE st IS NOT NULL),
+  l AS (SELECT *, ops || {tail} AS rev FROM w QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY n DESC) = 1),
+  t AS (SELECT pair_id, b.score, {i0.replace('i', 'l.i')}::INT AS text_begin, b.i::INT AS text_end, {j0.replace('j', 'l.j')}::INT AS pattern_begin, b.j::INT AS pattern_end, rev, reverse(rev) AS fwd FROM l JOIN b USING (pair_id)),
+  y AS (SELECT pair_id, k, substr(fwd, k, 1) AS op, CASE WHEN k > 1 THEN substr(fwd, k - 1, 1) ELSE '' END AS before,
+          text_begin + length(replace(substr(fwd, 1, k), 'I', '')) AS ti, pattern_begin + length(replace(substr(fwd, 1, k), 'D', '')) AS pj FROM (SELECT *, unnest(range(1, length(fwd) + 1))::INT AS k FROM t)),
+  z AS (SELECT pair_id, k, op, before, CASE WHEN op = 'I' THEN '' WHEN op = 'D' THEN CASE WHEN before = 'D' THEN '' ELSE '^' END || lower(substr(text, ti::INT, 1)) WHEN substr(text, ti::INT, 1) = substr(pattern, pj::INT, 1) THEN '=' ELSE substr(text, ti::INT, 1) END AS sym FROM y JOIN p USING (pair_id)),
+  a AS (SELECT pair_id, string_agg(sym, '' ORDER BY k) || '#' AS syms, count(*) FILTER (op = 'M' AND sym <> '=') AS n_mm, count(*) FILTER (op <> 'M' AND op <> before) AS n_gapo, count(*) FILTER (op <> 'M' AND op = before) AS n_gape FROM z GROUP BY pair_id)
+  SELECT pair_id, score::INT AS score, text_begin, text_end, pattern_begin, pattern_end,
+    CASE WHEN pattern_begin > 0 THEN pattern_begin || 'S' ELSE '' END || {runs.format('fwd')} || CASE WHEN pattern_end < m THEN (m - pattern_end) || 'S' ELSE '' END AS cigar, {runs.format('rev')} AS ops_rev,
+    CASE WHEN score IS NOT NULL THEN replace(upper(array_to_string(list_transform(regexp_extract_all(coalesce(syms, '#'), '=*(?:\\^[acgt]+|[ACGT]|#)'), lambda x: (length(x) - length(ltrim(x, '='))) || ltrim(x, '=')), '')), '#', '') END AS md,
+    {alone('n_mm + n_gapo + n_gape')} AS ed, {alone('n_mm')} AS n_mm, {alone('n_gapo')} AS n_gapo, {alone('n_gape')} AS n_gape
+  FROM p LEFT JOIN t USING (pair_id) LEFT JOIN a USING (pair_id)"""
+
+
+for _name, _scheme in SCHEMES.items():
+    for _mode in ("global", "local", "semi_global"):
+        ORACLES[f"{_name}_score_{_mode}"] = score_sql(_scheme, _mode)
+        ORACLES[f"{_name}_traceback_{_mode}"] = traceback_sql(_scheme, _mode)
+    ORACLES[f"{_name}_traceback_banded"] = traceback_sql(_scheme, "semi_global", 31)

@@ -57,7 +57,7 @@ def bwt_string(spark, sf_dir):
     return index.bwt_string(bwt_of(spark, sf_dir))
 
 
-@register("reverse_bwt")
+@register("reverse_bwt", f"SELECT ref_id, string_agg(CASE WHEN pos = 0 THEN '' ELSE substr(seq, pos, 1) END, '' ORDER BY \"row\") AS bwt, max(\"row\") FILTER (pos = 0) AS \"primary\" FROM ({SA_SQL.replace('SELECT read_id AS ref_id, seq,', 'SELECT read_id AS ref_id, reverse(seq) AS seq,')}) GROUP BY ref_id")
 def reverse_bwt(spark, sf_dir):
     back = texts(spark, sf_dir).withColumn("seq", F.reverse("seq"))
     return index.bwt_string(index.bwt(back, index.suffix_array(back)))
@@ -116,7 +116,8 @@ def unknown_runs(spark, sf_dir):
     return index.unknown_runs(masked(spark, sf_dir))
 
 
-@register("fill_unknown")
+@register("fill_unknown", """WITH s AS (SELECT item_id AS ref_id, regexp_replace(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'HIJ', 'NNN'), '[^ACGTN]', 'A', 'g') AS seq FROM benchmark)
+  SELECT ref_id, array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN substr(seq, i, 1) <> 'N' THEN substr(seq, i, 1) ELSE substr('ACGT', ((strpos('0123456789abcdef', substr(md5('11:' || ref_id || ':' || (i - 1)), 1, 1)) - 1) % 4 + 1)::INT, 1) END), '') AS seq FROM s""")
 def fill_unknown(spark, sf_dir):
     return index.fill_unknown(masked(spark, sf_dir))
 

@@ -192,7 +192,8 @@ def select_top_range(spark, sf_dir):
     return sampling.select_top_range(ranges(spark, sf_dir)).select("read_id", "row")
 
 
-@register("random_ranges")
+@register("random_ranges", f"""SELECT read_id, pos_in_read, rc, sa_begin, sa_end, row_number() OVER (PARTITION BY read_id ORDER BY CASE WHEN first = 1 THEN -1.0::DOUBLE ELSE -ln((u + 0.5) / 281474976710656.0::DOUBLE) * size * size END)::INT AS rank
+   FROM (SELECT *, (sa_end - sa_begin)::DOUBLE AS size, ('0x' || substr(md5(concat_ws(':', 0, read_id, pos_in_read, rc, sa_begin)), 1, 12))::BIGINT::DOUBLE AS u, row_number() OVER (PARTITION BY read_id ORDER BY {ORDER}) AS first FROM {RANGES} WHERE sa_end > sa_begin) QUALIFY rank <= 3""")
 def random_ranges(spark, sf_dir):
     return sampling.random_ranges(ranges(spark, sf_dir), 3)
 
@@ -221,3 +222,36 @@ def leaves(spark, sf_dir):
 def weighted_pick(spark, sf_dir):
     d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tree_id"), ((F.col("c_custkey") % 8) / F.lit(8.0)).alias("u"))
     return sampling.weighted_pick(leaves(spark, sf_dir), d)
+
+
+_LOGS = "CASE WHEN {x} = 0 THEN 0 ELSE length(bin({x})) END::INT"
+
+
+@register("hit_histograms", f"""WITH p AS (SELECT read_id, count(*) AS ranges, sum(sa_end - sa_begin)::BIGINT AS hits, min(sa_end - sa_begin) AS top_hits FROM {RANGES} GROUP BY 1)
+   SELECT name, bin, count(*) AS n FROM (SELECT 'ranges' AS name, {_LOGS.format(x='ranges')} AS bin FROM p UNION ALL SELECT 'hits', {_LOGS.format(x='hits')} FROM p UNION ALL SELECT 'top_hits', {_LOGS.format(x='top_hits')} FROM p UNION ALL SELECT 'range_size', {_LOGS.format(x='(sa_end - sa_begin)')} FROM {RANGES}) GROUP BY 1, 2""")
+def hit_histograms(spark, sf_dir):
+    return reduce.hit_histograms(ranges(spark, sf_dir))
+
+
+@register("invert_hits", f'SELECT read_id, pos_in_read * 2 + rc AS range_id, unnest(range(sa_begin, sa_end)) AS "row" FROM {RANGES}')
+def invert_hits(spark, sf_dir):
+    return lookup.invert_hits(ranges(spark, sf_dir).withColumn("range_id", F.col("pos_in_read") * 2 + F.col("rc")))
+
+
+@register("sorted_hits", f"SELECT * FROM {RANGES}")
+def sorted_hits(spark, sf_dir):
+    """By the high bits in ranges, then as a whole; a test looks at the order."""
+    return sampling.sort_global(sampling.sort_high_bits(ranges(spark, sf_dir), "sa_begin"), "sa_begin", "sa_end")
+
+
+@register("merged_lists", "SELECT o_custkey, array_to_string(list_sort(list_concat(list(o_orderkey) FILTER (o_orderkey % 2 = 0), list(o_orderkey) FILTER (o_orderkey % 2 = 1))), ',') AS merged FROM orders GROUP BY 1")
+def merged_lists(spark, sf_dir):
+    k = F.col("o_orderkey")
+    half = lambda r: F.array_sort(F.collect_list(F.when(k % 2 == r, k)))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(half(0).alias("a"), half(1).alias("b")).select("o_custkey", F.array_join(sampling.merge_sorted(F.col("a"), F.col("b")).cast("array<string>"), ",").alias("merged"))
+
+
+@register("seed_dispatch", f"""WITH s AS ({SEEDS_SQL.replace('16', '20').replace('- 15, 15', '- 19, 15')}), k AS ({KMERS_SQL.replace('16', '20').replace('- 14', '- 18')})
+  SELECT read_id, ref_id, rc, pos_in_read, pos, hamming(s.seed, k.seed)::INT AS mismatches FROM s JOIN k ON substr(s.seed, 1, 12) = substr(k.seed, 1, 12) WHERE hamming(s.seed, k.seed) <= 1""")
+def seed_dispatch(spark, sf_dir):
+    return lookup.map_seeds(reads(spark, sf_dir), sequences(spark, sf_dir), substitutions=1, sub_seed=12, length=20, interval=15)

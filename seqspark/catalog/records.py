@@ -187,6 +187,35 @@ def diff_pairs(spark, sf_dir):
     return compare.pair_breakdown(table(spark, sf_dir, "orders").selectExpr("o_orderkey as k").selectExpr(*exprs))
 
 
+def _histograms_sql() -> str:
+    rows = []
+    for name, (column, high, log) in compare.MEASURES.items():
+        d = f"(l.{column} - r.{column})::BIGINT"
+        size = f"CASE WHEN {d} = 0 THEN 0 ELSE length(bin(abs({d}))) END" if log else f"abs({d})"
+        rows.append(f"SELECT '{name}' AS measure, {size}::BIGINT AS bin, CASE WHEN {d} = 0 THEN ['left', 'right'] WHEN ({d} > 0) = {str(high).lower()} THEN ['left'] ELSE ['right'] END AS sides FROM {MAPPED}")
+    return f"SELECT measure, side, bin, count(*) AS n FROM (SELECT measure, bin, unnest(sides) AS side FROM ({' UNION ALL '.join(rows)})) GROUP BY ALL"
+
+
+@register("diff_measure_histograms", _histograms_sql())
+def diff_measure_histograms(spark, sf_dir):
+    return compare.measure_histograms(compare.measure_rows(both(spark, sf_dir)))
+
+
+_MARKS = "o_orderkey % 43 AS mapq, o_orderkey % 3 > 0 AS l_unique, o_orderkey % 4 > 0 AS r_unique, o_orderkey % 5 = 0 AS l_ambiguous, o_orderkey % 6 = 0 AS r_ambiguous"
+
+
+@register("diff_pair_histograms", f"""WITH p AS (SELECT a.*, b.* FROM (SELECT *, row_number() OVER (ORDER BY l1_pos) AS i FROM {PAIR_SQL}) a JOIN (SELECT {_MARKS}, row_number() OVER (ORDER BY o_orderkey) AS j FROM orders) b ON i = j),
+   q AS (SELECT *, CASE WHEN l1_ref_id <> r1_ref_id OR l2_ref_id <> r2_ref_id THEN ['different_ref', 'distant'] WHEN abs(l1_pos - r1_pos) > 100 OR abs(l2_pos - r2_pos) > 100 THEN ['distant'] ELSE [] END AS kinds,
+           ['all'] || CASE WHEN l_unique AND r_unique THEN ['unique'] ELSE [] END || CASE WHEN NOT l_ambiguous AND NOT r_ambiguous THEN ['not_ambiguous'] ELSE [] END AS subsets FROM p)
+   SELECT kind, subset, mapq_bin, count(*) AS n FROM (SELECT kind, mapq_bin, unnest(subsets) AS subset FROM (SELECT unnest(kinds) AS kind, subsets, CASE WHEN mapq = 0 THEN 0 ELSE length(bin(mapq)) END::INT AS mapq_bin FROM q)) GROUP BY ALL""")
+def diff_pair_histograms(spark, sf_dir):
+    import re
+
+    exprs = re.sub(r"\((k % \d+ = 0)\)::INT", r"int(\1)", PAIR_SQL)[8:].split(" FROM ")[0].split(", ")
+    marks = [m.replace("o_orderkey", "k") for m in _MARKS.split(", ")]
+    return compare.pair_histograms(table(spark, sf_dir, "orders").selectExpr("o_orderkey as k").selectExpr(*exprs, *marks))
+
+
 RECORDS = "(SELECT CASE WHEN o_orderkey % 11 > 0 THEN -(o_orderkey % 40) END AS score, CASE WHEN o_orderkey % 11 > 0 AND o_custkey % 2 = 0 THEN -(o_orderkey % 40) - o_custkey % 3 END AS second_score, o_orderkey % 43 AS mapq, o_orderkey % 6 AS ed FROM orders)"
 
 

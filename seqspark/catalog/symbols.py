@@ -82,23 +82,88 @@ def integer_functions(spark, sf_dir):
     )
 
 
-def _sql_hash32() -> str:
+def sql_hash32(rows: str, key: str = "event_id") -> str:
+    """Rows (key, x) with x hashed."""
     a = "x"
     steps = ["((({a} + 2127912214) & 4294967295) + ({a} << 12)) & 4294967295", "xor(xor({a}, 3345072700), ({a} >> 19)) & 4294967295", "({a} + 374761393 + ({a} << 5)) & 4294967295",
              "xor(({a} + 3550635116) & 4294967295, ({a} << 9)) & 4294967295", "({a} + 4251993797 + ({a} << 3)) & 4294967295", "xor(xor({a}, 3042594569), ({a} >> 16)) & 4294967295"]
-    out = "SELECT event_id, x FROM (SELECT event_id, (event_id * 2654435761 % 4294967296)::BIGINT AS x FROM events)"
     for s in steps:
-        out = f"SELECT event_id, {s.format(a=a)} AS x FROM ({out})"
-    return f"SELECT event_id, x AS h FROM ({out})"
+        rows = f"SELECT {key}, {s.format(a=a)} AS x FROM ({rows})"
+    return rows
 
 
-@register("integer_hash", _sql_hash32())
+def sql_hash32_mix(rows: str, key: str = "event_id") -> str:
+    for s in ("(x + 4294967295 - ((x << 15) & 4294967295)) & 4294967295", "xor(x, x >> 10)", "(x + (x << 3)) & 4294967295", "xor(x, x >> 6)", "(x + 4294967295 - ((x << 11) & 4294967295)) & 4294967295", "xor(x, x >> 16)"):
+        rows = f"SELECT {key}, ({s})::BIGINT AS x FROM ({rows})"
+    return rows
+
+
+EVENT_NUMBERS = "SELECT event_id, (event_id * 2654435761 % 4294967296)::BIGINT AS x FROM events"
+
+
+@register("integer_hash", f"SELECT event_id, x AS h FROM ({sql_hash32(EVENT_NUMBERS)})")
 def integer_hash(spark, sf_dir):
     x = F.col("event_id") * F.lit(2654435761) % F.lit(4294967296)
     return table(spark, sf_dir, "events").select("event_id", symbols.hash32(x).alias("h"))
 
 
-@register("name_crc")
+def _sql_hash64() -> str:
+    rows, m = "SELECT event_id, (event_id * 2654435761 * 97)::HUGEINT AS x FROM events", 1 << 64
+    for up, down in ((32, 22), (13, 8), (3, 15), (27, 31)):
+        shifted = f"((x * {1 << up}) % {m})"
+        rows = f"SELECT event_id, (x + {shifted if up == 3 else f'({m - 1} - {shifted})'}) % {m} AS x FROM ({rows})"
+        rows = f"SELECT event_id, xor(x, x // {1 << down}) AS x FROM ({rows})"
+    return f"SELECT event_id, (CASE WHEN x >= {1 << 63} THEN x - {m} ELSE x END)::BIGINT AS mix FROM ({rows})"
+
+
+_ELF = "(h * 16 + b) & 4294967295"
+
+
+@register("integer_hash_wide", f"""SELECT event_id, h2.x AS mix32, mix, xor(k >> 32, k) AS fold, list_reduce([0::BIGINT, k & 255, (k >> 8) & 255, (k >> 16) & 255, (k >> 24) & 255, (k >> 32) & 255, (k >> 40) & 255, (k >> 48) & 255, (k >> 56) & 255], lambda h, b: xor({_ELF}, (({_ELF}) & 4026531840) >> 24) & 268435455)::BIGINT AS elf
+   FROM (SELECT event_id, (event_id * 2654435761 * 97)::BIGINT AS k FROM events) JOIN ({sql_hash32_mix(EVENT_NUMBERS)}) h2 USING (event_id) JOIN ({_sql_hash64()}) USING (event_id)""")
+def integer_hash_wide(spark, sf_dir):
+    n = F.col("event_id") * F.lit(2654435761)
+    d = table(spark, sf_dir, "events").select("event_id", (n % F.lit(4294967296)).alias("x"), (n * 97).alias("k"))
+    return symbols.hash64_mix(d, "k", "mix").select("event_id", symbols.hash32_mix(F.col("x")).alias("mix32"), "mix", symbols.hash64_fold(F.col("k")).alias("fold"), symbols.hash64_elf(F.col("k")).alias("elf"))
+
+
+@register("bit_fields", f"""SELECT event_id, bit_count(x)::INT AS ones, (list_filter(range(0, 32), lambda i: (x >> i) & 1 = 1)[3])::INT AS third, len(list_filter(range(0, 16), lambda i: (x >> (2 * i)) & 3 = 2))::INT AS twos FROM ({EVENT_NUMBERS})""")
+def bit_fields(spark, sf_dir):
+    x = F.col("event_id") * F.lit(2654435761) % F.lit(4294967296)
+    return table(spark, sf_dir, "events").select("event_id", symbols.popcount(x).alias("ones"), symbols.nth_set_bit(x, 3).alias("third"), symbols.count_2bit(x, 2).alias("twos"))
+
+
+@register("strand_qualities", f"SELECT read_id, md5(array_to_string(CASE WHEN read_id % 2 = 1 THEN list_reverse(q) ELSE q END, ',')) AS q FROM (SELECT read_id, [((i * 7 + read_id) % 41) FOR i IN range(1, len + 1)] AS q FROM ({READS_SQL}))")
+def strand_qualities(spark, sf_dir):
+    return qualities(reads(spark, sf_dir)).select("read_id", F.md5(F.array_join(symbols.strand_quality(F.col("qual"), F.col("read_id") % 2 == 1).cast("array<string>"), ",")).alias("q"))
+
+
+@register("scheme_options", "SELECT * FROM (VALUES ('default', 0, -2, -6, -1, -8, -3, -8, -3, false), ('local', 2, -2, -6, -1, -8, -3, -8, -3, true), ('base1', 1, -3, -3, -3, -15, -4, -15, -4, false), ('own', 3, -1, -4, -1, -6, -1, -8, -3, false)) t(name, \"match\", mismatch_min, mismatch_max, n_penalty, text_open, text_extend, pattern_open, pattern_extend, min_log)")
+def scheme_options(spark, sf_dir):
+    """The presets and a scheme read from a file of key and value pairs."""
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".txt") as f:
+        f.write("match 3\nmm-penalty-min 1 mm-penalty-max 4\nref-gap-const 5\tref-gap-coeff 1\n")
+        f.flush()
+        own = scoring.from_file(f.name)
+    names = ("match", "mismatch_min", "mismatch_max", "n_penalty", "text_open", "text_extend", "pattern_open", "pattern_extend", "min_log")
+    rows = [(n, *(getattr(s, x) for x in names)) for n, s in [*((n, scoring.preset(n)) for n in scoring.OPTIONS), ("own", own)]]
+    return spark.createDataFrame(rows, "name string, match int, mismatch_min int, mismatch_max int, n_penalty int, text_open int, text_extend int, pattern_open int, pattern_extend int, min_log boolean")
+
+
+@register("cigar_strings", "SELECT o_orderkey, array_to_string(list_transform(regexp_extract_all(ops, 'M+|I+|D+'), lambda x: length(x) || substr(x, 1, 1)), '') AS cigar, array_to_string(list_transform(regexp_extract_all(reverse(ops), 'M+|I+|D+'), lambda x: length(x) || substr(x, 1, 1)), '') AS backwards FROM (SELECT o_orderkey, substr('MMDMIIMMMDDMIMMMMDIM', 1, (o_orderkey % 20 + 1)::INT) AS ops FROM orders)")
+def cigar_strings(spark, sf_dir):
+    from ..functions import sam
+
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.substring(F.lit("MMDMIIMMMDDMIMMMMDIM"), F.lit(1), (F.col("o_orderkey") % 20 + 1).cast("int")).alias("ops"))
+    runs = sam.runs_of(F.col("ops"))
+    return d.select("o_orderkey", runs.alias("cigar"), sam.cigar_text(sam.parse_cigar(runs), backwards=True).alias("backwards"))
+
+
+@register("name_crc", """WITH RECURSIVE step AS (SELECT b, b AS c, 0 AS n FROM (SELECT unnest(range(0, 256)) AS b) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM step WHERE n < 8),
+   tab AS (SELECT list(c ORDER BY b) AS t FROM step WHERE n = 8)
+   SELECT c_custkey, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(c_name) + 1), lambda i: ord(substr(c_name, i, 1))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS crc FROM customer, tab""")
 def name_crc(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.crc32("c_name").alias("crc"))
 
@@ -151,7 +216,22 @@ def mapq_model(spark, sf_dir):
     return o.select("o_orderkey", scoring.mapq(best, second, F.lit(0), F.lit(-60)).alias("mapq"))
 
 
-@register("mapq_local")
+def _mapq_local_sql() -> str:
+    f = lambda x: f"(diff * {x}::FLOAT)::FLOAT"
+    out = "CASE WHEN best < least THEN 0 WHEN second IS NULL THEN CASE " + " ".join(f"WHEN over >= {f(a)} THEN {b}" for a, b in zip((0.8, 0.7, 0.6, 0.5, 0.4, 0.3), (44, 42, 41, 36, 28, 24), strict=True)) + " ELSE 22 END"
+    out += "".join(f" WHEN gap >= {f(a)} THEN {x}" for a, x in zip((0.9, 0.8, 0.7, 0.6), (40, 39, 38, 37), strict=True))
+    for a, full, high, rest in ((0.5, 35, 25, 20), (0.4, 34, 21, 19), (0.3, 33, 18, 16), (0.2, 32, 17, 12), (0.1, 31, 14, 9)):
+        out += f" WHEN gap >= {f(a)} THEN CASE WHEN over = diff THEN {full} WHEN over >= {f(0.5)} THEN {high} ELSE {rest} END"
+    out += f" WHEN gap > 0 THEN CASE WHEN over >= {f(0.5)} THEN 11 ELSE 2 END ELSE CASE WHEN over >= {f(0.5)} THEN 1 ELSE 0 END END"
+    alone, perfect, two = (list(x) for x in (scoring.TABLE_ALONE, scoring.TABLE_PERFECT, sum(scoring.TABLE_TWO, ())))
+    bin_of = lambda x: f"least(greatest(trunc({x}::DOUBLE * (10.0::DOUBLE / 60) + 0.5), 0), 10)::INT"
+    away, gap = bin_of("greatest(100 - best, 0)"), bin_of("(best - second)")
+    by_table = f"CASE WHEN best < least THEN 0 WHEN second IS NULL THEN CASE WHEN best = 100 THEN 44 ELSE {alone}[{away} + 1] END WHEN best = 100 THEN {perfect}[{gap} + 1] ELSE {two}[{gap} * 11 + {away} + 1] END"
+    rows = "SELECT o_orderkey, (100 - o_orderkey % 70)::INT AS best, CASE WHEN o_custkey % 3 > 0 THEN (100 - o_orderkey % 70 - o_custkey % 50)::INT END AS second, 40 AS least FROM orders"
+    return f"SELECT o_orderkey, {out}::INT AS mapq, {by_table}::INT AS mapq_table FROM (SELECT *, 60::FLOAT AS diff, (best - least)::FLOAT AS over, abs(abs(best) - abs(second))::FLOAT AS gap FROM ({rows}))"
+
+
+@register("mapq_local", _mapq_local_sql())
 def mapq_local(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     best = (100 - F.col("o_orderkey") % 70).cast("int")
@@ -166,11 +246,29 @@ def sorted_bounds(spark, sf_dir):
     return o.select("o_orderkey", filters.lower_bound(v, F.col("k")).alias("lower"), filters.upper_bound(v, F.col("k")).alias("upper"), filters.find_pivot(v, lambda x: x > F.col("k")).alias("pivot"))
 
 
-@register("bloom_membership", """SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM customer) AS truly FROM orders""")
+_KEYS = "SELECT DISTINCT key, key AS x FROM (SELECT o_custkey AS key FROM orders UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)"
+
+
+@register("bloom_membership", f"""WITH b AS (SELECT a.key, (a.x + m.x * i) & 4095 AS bit FROM ({sql_hash32(_KEYS, 'key')}) a JOIN ({sql_hash32_mix(_KEYS, 'key')}) m USING (key), (SELECT unnest(range(0, 3)) AS i)),
+   held AS (SELECT DISTINCT bit FROM b WHERE key IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0))
+   SELECT o_orderkey, o_custkey, has FROM orders JOIN (SELECT key, bool_and(bit IN (SELECT bit FROM held)) AS has FROM b GROUP BY key) ON key = o_custkey""")
 def bloom_membership(spark, sf_dir):
-    """No false negatives: membership by the filter agrees with a semi-join wherever the key exists."""
+    """What a filter of 4,096 bits over every second customer answers, false positives too."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    bloom = lookup.bloom_build(table(spark, sf_dir, "customer"), "c_custkey", 3, 1 << 20)
-    told = lookup.bloom_has(o, "o_custkey", bloom, 3, 1 << 20)
-    exact = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(True).alias("in"))
-    return told.join(exact, told["o_custkey"] == exact["k"], "left").select("o_orderkey", (F.coalesce("in", F.lit(False)) & F.col("has")).alias("truly"))
+    bloom = lookup.bloom_build(table(spark, sf_dir, "customer").where("c_custkey % 2 = 0"), "c_custkey", 3, 4096)
+    return lookup.bloom_has(o, "o_custkey", bloom, 3, 4096).select("o_orderkey", "o_custkey", "has")
+
+
+STATES = "(SELECT o_orderkey AS k, (o_orderkey % 300 + 1)::INT AS len, -(o_orderkey % 40) AS score, CASE WHEN o_custkey % 3 > 0 THEN -(o_orderkey % 40) - o_custkey % 11 END AS second_score, CASE WHEN o_orderkey % 7 > 0 THEN -(o_orderkey % 30) END AS anchor_score FROM orders)"
+
+
+@register("read_states", f"SELECT k, second_score IS NOT NULL AS has_second, second_score IS NULL OR -second_score > 15 AS active, score >= -20 AS above, anchor_score IS NOT NULL AS anchored FROM {STATES}")
+def read_states(spark, sf_dir):
+    """Reads by state; an over-long read would fail the query."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    d = table(spark, sf_dir, "orders").select(k.alias("k"), (k % 300 + 1).cast("int").alias("len"), (-(k % 40)).alias("score"), F.when(c % 3 > 0, -(k % 40) - c % 11).alias("second_score"), F.when(k % 7 > 0, -(k % 30)).alias("anchor_score"))
+    d = filters.guard_length(d, "len", 300)
+    marks = lambda kept, name: kept.select("k", F.lit(True).alias(name))
+    out = d.select("k", filters.still_active(F.col("second_score"), 15).alias("active"), filters.above_threshold(F.col("score"), F.lit(-20)).alias("above"))
+    out = out.join(marks(filters.second_best(d), "has_second"), "k", "left").join(marks(filters.valid_anchors(d), "anchored"), "k", "left")
+    return out.fillna(False, ["has_second", "anchored"])

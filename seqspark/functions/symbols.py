@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -148,21 +148,15 @@ def hash32(a: Column) -> Column:
     return _u32(a.bitwiseXOR(F.lit(0xB55A4F09)).bitwiseXOR(F.shiftright(a, 16)))
 
 
-def _steps32(a: Column, steps: list[tuple[str, int]]) -> Column:
-    for kind, n in steps:
-        if kind == "~<":
-            a = _u32(a + _u32(F.bitwise_not(F.shiftleft(a, n))))
-        elif kind == "<":
-            a = _u32(a + F.shiftleft(a, n))
-        else:
-            a = a.bitwiseXOR(F.shiftright(a, n))
-    return a
-
-
 def hash32_mix(a: Column) -> Column:
     """32-bit shift-add mix (unsigned, as a long)."""
     # fixed values
-    return _steps32(a, [("~<", 15), (">", 10), ("<", 3), (">", 6), ("~<", 11), (">", 16)])
+    a = _u32(a + F.bitwise_not(F.shiftleft(a, 15)))
+    a = a.bitwiseXOR(F.shiftright(a, 10))
+    a = _u32(a + F.shiftleft(a, 3))
+    a = a.bitwiseXOR(F.shiftright(a, 6))
+    a = _u32(a + F.bitwise_not(F.shiftleft(a, 11)))
+    return a.bitwiseXOR(F.shiftright(a, 16))
 
 
 def add64(a: Column, b: Column) -> Column:
@@ -173,10 +167,32 @@ def add64(a: Column, b: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(mask))
 
 
+def hash64_mix(df: DataFrame, key: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the 64-bit shift-add mix of a long column.  A projection for each pair of steps, as each names its input often."""
+    # fixed values
+    for i, (up, down) in enumerate(((32, 22), (13, 8), (3, 15), (27, 31))):
+        a = F.col(key if i == 0 else out)
+        shifted = F.shiftleft(a, up)
+        df = df.withColumn(out, add64(a, shifted if up == 3 else F.bitwise_not(shifted)))
+        df = df.withColumn(out, F.col(out).bitwiseXOR(F.shiftrightunsigned(out, down)))
+    return df
+
+
 def hash64_fold(key: Column) -> Column:
     return F.shiftrightunsigned(key, 32).bitwiseXOR(key)
 
 
+def hash64_elf(key: Column) -> Column:
+    """28-bit hash of the eight bytes of a long, lowest first: shift by four, add, fold the top four bits of 32 back."""
+
+    def step(h: Column, i: Column) -> Column:
+        byte = F.call_function("shiftrightunsigned", key, i * 8).bitwiseAND(F.lit(255))
+        h = _u32(F.shiftleft(h, 4) + byte)
+        return h.bitwiseXOR(F.shiftright(h.bitwiseAND(F.lit(0xF0000000)), 24)).bitwiseAND(F.lit(0x0FFFFFFF))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), step)
+
+
 def lcg(state: Column) -> Column:
     """One step of the linear congruential generator, as a long below 2**32."""
     return _u32(F.pmod(state * F.lit(1664525) + F.lit(1013904223), F.lit(1 << 32)))

@@ -83,6 +83,27 @@ def pair_breakdown(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_k", kind).withColumn("_t", turn).agg(F.count("*").alias("n"), *(F.count_if(F.col("_k") == k).alias(k) for k in names), *(F.count_if(F.coalesce(F.col("_t") == t, F.lit(False))).alias(f"discordant_{t}") for t in ("both", "1", "2")))
 
 
+def measure_histograms(rows: DataFrame) -> DataFrame:
+    """(measure, side, bin, n): differences of the pairs in which a side is as good or better, binned by size as the measure says."""
+    side = F.explode(F.filter(F.array(F.when(F.col("better").isin("left", "both"), "left"), F.when(F.col("better").isin("right", "both"), "right")), lambda s: s.isNotNull()))
+    return rows.withColumn("side", side).groupBy("measure", "side", F.abs("bin").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def pair_histograms(pairs: DataFrame) -> DataFrame:
+    """(kind, subset, mapq_bin, n): pairs on other contigs or distant, by the right side's mapping quality.
+
+    ``subset`` is all, unique (no second on either side) or not_ambiguous (no equal second on either side).  Reads
+    the columns of :func:`pair_breakdown` and mapq, l_unique, r_unique, l_ambiguous, r_ambiguous.  Pairs on other
+    contigs count as distant too.
+    """
+    ref = [F.col(f"l{k}_ref_id") != F.col(f"r{k}_ref_id") for k in (1, 2)]
+    far = [distant(F.col(f"l{k}_pos"), F.col(f"r{k}_pos"), F.col(f"len{k}")) for k in (1, 2)]
+    kinds = F.when(ref[0] | ref[1], F.array(F.lit("different_ref"), F.lit("distant"))).when(far[0] | far[1], F.array(F.lit("distant"))).otherwise(F.array().cast("array<string>"))
+    subsets = F.array(F.lit("all"), F.when(F.col("l_unique") & F.col("r_unique"), "unique"), F.when(~F.col("l_ambiguous") & ~F.col("r_ambiguous"), "not_ambiguous"))
+    rows = pairs.select(F.explode(kinds).alias("kind"), F.filter(subsets, lambda s: s.isNotNull()).alias("_s"), log_bin(F.col("mapq")).alias("mapq_bin"))
+    return rows.select("kind", F.explode("_s").alias("subset"), "mapq_bin").groupBy("kind", "subset", "mapq_bin").agg(F.count("*").alias("n"))
+
+
 def output_statistics(records: DataFrame) -> DataFrame:
     """One row: reads, mapped, unique (no second), multiple, ambiguous (equal second), unambiguous."""
     mapped = F.col("score").isNotNull()

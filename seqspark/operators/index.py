@@ -95,8 +95,9 @@ def unknown_runs(texts: DataFrame, key: str = "ref_id", seq: str = "seq", offset
 
 
 def fill_unknown(texts: DataFrame, key: str = "ref_id", seq: str = "seq", seed: int = 11) -> DataFrame:
-    """Every symbol that isn't a base becomes one chosen by a hash of its place: the same on every run."""
-    pick = lambda i: F.substring(F.lit("ACGT"), F.pmod(F.xxhash64(F.lit(seed), F.col(key), i), F.lit(4)).cast("int") + 1, 1)
+    """Every symbol that isn't a base becomes one chosen by a digest of its place: the same on every run."""
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string"))), 1, 1)) - 1
+    pick = lambda i: F.substring(F.lit("ACGT"), F.pmod(digit(i), F.lit(4)) + 1, F.lit(1))
     filled = F.array_join(F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c, i: F.when(c.isin("A", "C", "G", "T"), c).otherwise(pick(i))), "")
     return texts.withColumn(seq, F.when(F.col(seq).rlike("[^ACGT]"), filled).otherwise(F.col(seq)))
 

@@ -80,22 +80,45 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, d: s + d)
 
 
+def _packed(s: Column, size: int) -> Column:
+    """A string of ``size`` symbols as longs of 21 symbols, three bits each; anything but A, C, G, T counts as one further symbol."""
+    digits = F.translate(F.regexp_replace(s, "[^ACGT]", "N"), "ACGTN", "01234")
+    return F.array(*(F.conv(F.substring(digits, i + 1, min(21, size - i)), 8, 10).cast("long") for i in range(0, size, 21)))
+
+
 def mismatch_search(texts: DataFrame, patterns: DataFrame, length: int, mismatches: int, exact: int = 0, key: str = "ref_id") -> DataFrame:
     """(query_id, key, pos, mismatches): all places where a pattern of ``length`` fits with at most so many substitutions.
 
     The pattern is cut into mismatches + 1 pieces, one of which must fit exactly: an equi-join on (piece number,
-    piece), then the rest is counted.  The last ``exact`` symbols must fit without substitution.
+    piece).  Both sides are packed, so the join itself counts differing symbols by bits and passes on only what
+    fits; a place that several pieces find counts at the first of them.  The last ``exact`` symbols must fit
+    without substitution.
     """
     n = mismatches + 1
     cuts = [round(i * length / n) for i in range(n + 1)]
-    piece = lambda s: F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.substring(s, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("p")) for i in range(n))))
-    p = patterns.where(F.length("pattern") == length).select("query_id", "pattern", piece("pattern").alias("_k"))
-    t = kmers(texts, length, key).select(key, "pos", "kmer", piece("kmer").alias("_k"))
-    met = p.join(t, "_k").select("query_id", key, "pos", "pattern", "kmer").distinct()
-    fits = met.withColumn("mismatches", hamming(F.col("pattern"), F.col("kmer"))).where(F.col("mismatches") <= mismatches)
+    piece = lambda s: F.posexplode(F.array(*(F.substring(s, cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(n))))
+    words = [(i, min(21, length - i)) for i in range(0, length, 21)]
+    p = patterns.where(F.length("pattern") == length).select("query_id", _packed(F.col("pattern"), length).alias("_a"), piece("pattern").alias("_i", "_p"))
+    t = kmers(texts, length, key).select(key, "pos", _packed(F.col("kmer"), length).alias("_b"), piece("kmer").alias("_j", "_q"))
+    p = p.select("query_id", "_i", "_p", *(F.col("_a")[k].alias(f"_a{k}") for k in range(len(words))))
+    t = t.select(key, "pos", "_j", "_q", *(F.col("_b")[k].alias(f"_b{k}") for k in range(len(words))))
+
+    def differing(begin: int, end: int) -> Column:
+        """Differing symbols of places begin .. end - 1."""
+        total = F.lit(0)
+        for k, (at, size) in enumerate(words):
+            mask = sum(1 << (3 * (at + size - 1 - i)) for i in range(max(at, begin), min(at + size, end)))
+            if mask:
+                x = F.col(f"_a{k}").bitwiseXOR(F.col(f"_b{k}"))
+                total = total + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(mask)))
+        return total
+
+    fits = (F.col("_i") == F.col("_j")) & (F.col("_p") == F.col("_q")) & (differing(0, length) <= mismatches)
+    for i in range(n - 1):  # found by an earlier piece already
+        fits &= (F.col("_i") <= i) | (differing(cuts[i], cuts[i + 1]) > 0)
     if exact:
-        fits = fits.where(F.substring("pattern", -exact, exact) == F.substring("kmer", -exact, exact))
-    return fits.select("query_id", key, "pos", "mismatches")
+        fits &= differing(length - exact, length) == 0
+    return p.join(t, fits).select("query_id", key, "pos", differing(0, length).cast("int").alias("mismatches"))
 
 
 def map_exact(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, retry: int = 0, max_frequency: int | None = None) -> DataFrame:
@@ -124,7 +147,9 @@ def map_approximate(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGT
     half = length // 2
     halves = lambda s: F.explode(F.array(F.struct(F.lit(0).alias("i"), F.substring(s, 1, half).alias("h")), F.struct(F.lit(1).alias("i"), F.substring(s, half + 1, length - half).alias("h"))))
     index = kmers(texts, length, out="_t").withColumn("_k", halves("_t"))
-    met = seeds(reads, length, interval, retry).withColumn("_k", halves("seed")).join(index, "_k").drop("_k").distinct()
+    met = seeds(reads, length, interval, retry).withColumn("_k", halves("seed")).join(index, "_k")
+    # a hit that both halves find counts at the first
+    met = met.where((F.col("_k.i") == 0) | (F.substring("seed", 1, half) != F.substring("_t", 1, half)))
     return met.withColumn("mismatches", hamming(F.col("seed"), F.col("_t"))).where("mismatches <= 1").select("read_id", "ref_id", "rc", "pos_in_read", "pos", "mismatches")
 
 

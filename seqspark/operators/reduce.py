@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,35 +53,35 @@ def best_two_with_budget(hits: DataFrame, max_effort: int = 15, min_ext: int = 3
     """The order-dependent form: hits (read_id, ord, score, pos, rc, len) are looked at in order, and a read stops after
     ``max_effort`` failures in a row once ``min_ext`` hits were seen, or after ``max_ext``.
 
-    Only the first ``max_ext`` hits of a read can count, so that many are kept before a read's rows meet in a group.
+    Only the first ``max_ext`` hits of a read can count, so that many are kept before a read's rows meet; they are
+    folded in order by one aggregate over the sorted array, without Python.
     """
     w = Window.partitionBy("read_id").orderBy("ord")
-    some = hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_ext).drop("_n")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        best = second = None
-        failures = seen = 0
-        far = int(pdf["len"].iloc[0]) // 2
-        for s, p, r in zip(pdf["score"], pdf["pos"], pdf["rc"], strict=True):
-            seen += 1
-            gone = {(b[1], b[2]) for b in (best, second) if b}
-            if (p, r) in gone:
-                continue
-            apart = best is None or r != best[2] or abs(p - best[1]) > far
-            if best is None or s > best[0]:
-                second = best if best and apart else second
-                best, failures = (s, p, r), 0
-            elif apart and (second is None or s > second[0]):
-                second, failures = (s, p, r), 0
-            else:
-                failures += 1
-                if failures >= max_effort and seen >= min_ext:
-                    break
-        two = second or (None, None, None)
-        return pd.DataFrame([[pdf["read_id"].iloc[0], *best, *two, seen]], columns=["read_id", "score", "pos", "rc", "second_score", "second_pos", "second_rc", "extensions"]).astype({"second_score": "Int64", "second_pos": "Int64", "second_rc": "Int32"})
-
-    return some.groupBy("read_id").applyInPandas(fold, "read_id long, score long, pos long, rc int, second_score long, second_pos long, second_rc int, extensions int")
+    some = hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_ext)
+    hit = F.struct(F.col("_n").cast("int").alias("n"), F.col("score").cast("long").alias("s"), F.col("pos").cast("long").alias("p"), F.col("rc").cast("int").alias("r"), F.floor(F.col("len") / 2).cast("long").alias("far"))
+    lists = some.groupBy("read_id").agg(F.array_sort(F.collect_list(hit)).alias("_h"))
+    one = "struct<s:bigint,p:bigint,r:int>"
+    none = F.lit(None).cast(one)
+    start = F.struct(none.alias("b"), none.alias("c"), F.lit(0).alias("fails"), F.lit(0).alias("seen"), F.lit(False).alias("over"))
+
+    def step(a: Column, h: Column) -> Column:
+        b, c = a["b"], a["c"]
+        this = F.struct(h["s"].alias("s"), h["p"].alias("p"), h["r"].alias("r"))
+        same = lambda x: x.isNotNull() & (x["p"] == h["p"]) & (x["r"] == h["r"])
+        again = F.coalesce(same(b), F.lit(False)) | F.coalesce(same(c), F.lit(False))
+        apart = b.isNull() | (h["r"] != b["r"]) | (F.abs(h["p"] - b["p"]) > F.col("_far"))
+        better = b.isNull() | (h["s"] > b["s"])
+        second = apart & (c.isNull() | (h["s"] > c["s"]))
+        fails = F.when(again, a["fails"]).when(better | second, 0).otherwise(a["fails"] + 1)
+        over = ~again & ~better & ~second & (fails >= max_effort) & (a["seen"] + 1 >= min_ext)
+        new_b = F.when(~again & better, this).otherwise(b)
+        new_c = F.when(again, c).when(better, F.when(b.isNotNull() & apart, b).otherwise(c)).when(second, this).otherwise(c)
+        next_ = F.struct(new_b.alias("b"), new_c.alias("c"), fails.alias("fails"), (a["seen"] + 1).alias("seen"), over.alias("over"))
+        return F.when(a["over"], a).otherwise(next_)
+
+    done = lists.withColumn("_far", F.col("_h")[0]["far"]).select("read_id", F.aggregate("_h", start, step).alias("a"))
+    names = {"b": ("score", "pos", "rc"), "c": ("second_score", "second_pos", "second_rc")}
+    return done.select("read_id", *(F.col(f"a.{k}.{f}").alias(n) for k, out in names.items() for f, n in zip("spr", out, strict=True)), F.col("a.seen").alias("extensions"))
 
 
 def target_score(best: Column, second: Column, worst: Column) -> Column:
@@ -101,3 +100,16 @@ def hit_statistics(ranges: DataFrame) -> DataFrame:
     per = ranges.groupBy("read_id").agg(F.count("*").alias("n"), F.sum(size).alias("hits"), F.min(size).alias("top"), F.max(size).alias("largest"))
     return per.agg(F.count("*").alias("reads"), F.sum("n").alias("ranges"), F.sum("hits").alias("hits"), F.sum("top").alias("top_hits"), F.max("largest").alias("max_range"))
 
+
+def hit_histograms(ranges: DataFrame) -> DataFrame:
+    """(name, bin, n): reads by the logarithm of their number of ranges, of hits and of hits in the smallest range; ranges by that of their size."""
+    from ..functions.symbols import log_bin
+
+    size = F.col("sa_end") - F.col("sa_begin")
+    sized = ranges.select("read_id", size.alias("_size"))
+    per = sized.groupBy("read_id").agg(F.count("*").alias("ranges"), F.sum("_size").alias("hits"), F.min("_size").alias("top_hits"))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), log_bin(F.col(c)).alias("bin")) for c in ("ranges", "hits", "top_hits"))))
+    of_reads = per.select(rows.alias("_r")).groupBy(F.col("_r.name").alias("name"), F.col("_r.bin").alias("bin")).agg(F.count("*").alias("n"))
+    of_ranges = sized.groupBy(F.lit("range_size").alias("name"), log_bin(F.col("_size")).alias("bin")).agg(F.count("*").alias("n"))
+    return of_reads.unionByName(of_ranges)
+

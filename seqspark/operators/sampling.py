@@ -12,10 +12,10 @@ def sort_global(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def sort_high_bits(df: DataFrame, key: str, bits: int = 16, partitions: int = 8) -> DataFrame:
+def sort_high_bits(df: DataFrame, key: str, bits: int = 16, partitions: int | None = None) -> DataFrame:
     """Coarse order by the high bits only: ranges of the key, sorted within."""
     high = F.shiftrightunsigned(F.col(key), bits)
-    return df.withColumn("_h", high).repartitionByRange(partitions, "_h").sortWithinPartitions("_h").drop("_h")
+    return df.withColumn("_h", high).repartitionByRange(*([partitions] if partitions else []), F.col("_h")).sortWithinPartitions("_h").drop("_h")
 
 
 def merge_sorted(a: Column, b: Column) -> Column:
@@ -58,8 +58,9 @@ def select_top_range(ranges: DataFrame) -> DataFrame:
 
 
 def uniform(*keys: Column) -> Column:
-    """A number in (0, 1) from a hash of the keys: the same on every run."""
-    return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """A number in (0, 1) from a digest of the keys: the same on every run."""
+    digits = F.substring(F.md5(F.concat_ws(":", *(k.cast("string") for k in keys))), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def random_ranges(ranges: DataFrame, count: int, seed: int = 0, keep_top: bool = True) -> DataFrame:

@@ -331,6 +331,48 @@ def encode_sa(primary: int, counts: list[int], interval: int, length: int, sampl
     return struct.pack("<7I", primary, *counts, interval, length) + np.array(samples, "<u4").tobytes()
 
 
+def pack_files(texts: DataFrame) -> DataFrame:
+    """(name, content) of a packed file for every text (name, seq)."""
+
+    def encode(batches):
+        for b in batches:
+            yield pd.DataFrame({"name": b["name"] + ".pac", "content": [encode_pac(s) for s in b["seq"]]})
+
+    return texts.select("name", "seq").mapInPandas(encode, "name string, content binary")
+
+
+def read_pac(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, seq) of packed files; a task decodes a file at a time."""
+
+    def decode(batches):
+        for b in batches:
+            yield pd.DataFrame({"file": b["path"].str.extract(r"([^/]*)$")[0], "seq": [decode_pac(c) for c in b["content"]]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, seq string")
+
+
+def bwt_files(transforms: DataFrame) -> DataFrame:
+    """(name, content) of a transform file for every row (name, bwt, primary, l2 of four ends)."""
+
+    def encode(batches):
+        for b in batches:
+            rows = zip(b["primary"], b["l2"], b["bwt"], strict=True)
+            yield pd.DataFrame({"name": b["name"] + ".bwt", "content": [encode_bwt(int(p), [int(x) for x in c], s) for p, c, s in rows]})
+
+    return transforms.select("name", "bwt", "primary", "l2").mapInPandas(encode, "name string, content binary")
+
+
+def read_bwt(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, primary, l2, bwt) of transform files."""
+
+    def decode(batches):
+        for b in batches:
+            rows = [decode_bwt(c) for c in b["content"]]
+            yield pd.DataFrame({"file": b["path"].str.extract(r"([^/]*)$")[0], "primary": [r[0] for r in rows], "l2": [r[1] for r in rows], "bwt": [r[2] for r in rows]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "file string, primary int, l2 array<int>, bwt string")
+
+
 def read_annotations(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame]:
     """(contigs, ambs) of the two text sidecars."""
     ann = spark.read.text(f"{prefix}.ann", wholetext=True)

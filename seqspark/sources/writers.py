@@ -56,8 +56,17 @@ def bam_header(contigs: list[tuple[str, int]], text: str = "@HD\tVN:1.3\n") -> b
     return b"BAM\x01" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs)) + refs
 
 
+def bam_bin(begin: int, end: int) -> int:
+    """The smallest bin of the format's binning scheme that holds begin .. end - 1."""
+    # fixed values: bin size as a power of two, number of the first bin of that size
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if begin >> shift == (end - 1) >> shift:
+            return first + (begin >> shift)
+    return 0
+
+
 def bam_record(r: dict, ref_ids: dict[str, int]) -> bytes:
-    """One record; the bin is always 0."""
+    """One record; without a place its bin is that of place -1."""
     import re
 
     gone = r["flag"] & 4
@@ -69,8 +78,10 @@ def bam_record(r: dict, ref_ids: dict[str, int]) -> bytes:
     packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
     qual = bytes([255] * len(seq)) if r["qual"] in (None, "*") else bytes(ord(c) - 33 for c in r["qual"])
     name = r["qname"].encode() + b"\0"
+    begin = -1 if gone else r["pos"] - 1
+    span = sum(x >> 4 for x in ops if CIGAR_OPS[x & 15] in "MDN=X") or 1
     tags = b"".join(k.encode() + (b"Z" + str(v).encode() + b"\0" if k == "MD" else b"i" + struct.pack("<i", int(v))) for k, v in (r.get("tags") or {}).items())
-    body = struct.pack("<iiBBHHHiiii", ref, -1 if gone else r["pos"] - 1, len(name), 0 if gone else r["mapq"], 0, len(ops), r["flag"], len(seq), nref, (r["pnext"] or 0) - 1, r["tlen"] or 0)
+    body = struct.pack("<iiBBHHHiiii", ref, begin, len(name), 0 if gone else r["mapq"], bam_bin(begin, begin + span), len(ops), r["flag"], len(seq), nref, (r["pnext"] or 0) - 1, r["tlen"] or 0)
     body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + qual + tags
     return struct.pack("<i", len(body)) + body
 
@@ -93,7 +104,7 @@ def bam_parts(records: DataFrame, contigs: list[tuple[str, int]]) -> DataFrame:
 
 
 def write_bam(records: DataFrame, contigs: list[tuple[str, int]], path: str) -> int:
-    """One BAM file a task, written through the cluster's file system; returns how many records were written."""
+    """One BAM file a task, written to the cluster's file system by way of the driver; returns how many records were written."""
     parts = bam_parts(records, contigs).withColumn("name", F.format_string("part-%05d.bam", F.spark_partition_id()))
     return _write_files(parts, path)
 
@@ -135,6 +146,11 @@ def write_debug(records: DataFrame, path: str) -> int:
     return total
 
 
+def write_index_files(files: DataFrame, path: str) -> int:
+    """Binary index files: rows (name, content), such as the encoders of packed sequences, transforms and samples make."""
+    return _write_files(files.select("name", F.lit(1).alias("n"), "content"), path)
+
+
 def write_annotations(contigs: DataFrame, ambs: DataFrame, prefix: str, seed: int = 11) -> None:
     """The two text sidecars: a header line, then two lines a contig; one line a hole.  One task: a line for each contig."""
     total, n = contigs.agg(F.coalesce(F.sum("len"), F.lit(0)), F.count("*")).first()

@@ -37,6 +37,7 @@ def test_hash_mix(spark):
 
     for x in (0, 1, 12345, 0xFFFFFFFF):
         assert one(spark, symbols.hash32_mix(F.lit(x).cast("long")))[0] == plain(x)
+    assert one(spark, symbols.hash64_fold(F.lit(3 << 32 | 5).cast("long")))[0] == 3 << 32 | 6
     assert one(spark, symbols.add64(F.lit(2**63 - 1), F.lit(1).cast("long")))[0] == -(2**63)
 
 

@@ -228,3 +228,34 @@ def test_reads_of_repeats_are_seeded_again(spark, substitutions):
     n = lambda rep: {(r["read_id"], r["ref_id"]): r["n_seeds"] for r in aligner.candidates(reads, texts, aligner.Parameters(seed_length=16, seed_interval=15, max_reseed=1, rep_seeds=rep, substitutions=substitutions)).where("rc = 0 and pos = 0").collect()}
     assert n(3) == {(1, 0): 1, (1, 1): 1, (2, 2): 1}
     assert n(2) == {(1, 0): 2, (1, 1): 2, (2, 2): 1}  # an average of two hits a seed: one more round
+
+
+def test_sorts(spark):
+    from seqspark.operators import sampling
+
+    df = spark.range(2000).select(((F.col("id") * 7919) % 100003 * 41).alias("k"))
+    rows = [r["k"] for r in sampling.sort_global(df, "k").collect()]
+    assert rows == sorted(rows)
+    high = [r["k"] >> 16 for r in sampling.sort_high_bits(df, "k", partitions=5).collect()]
+    assert high == sorted(high) and len(high) == 2000
+
+
+def test_mismatch_search_long_patterns(spark):
+    """Patterns of more symbols than one long holds, exact ends, symbols outside the alphabet."""
+    import random
+
+    rng = random.Random(5)
+    text = "".join(rng.choice("ACGT") for _ in range(300))
+    text = text[:50] + "N" + text[51:]
+    patterns = []
+    for i in range(40):
+        at = rng.randrange(0, 250)
+        p = list(text[at : at + 45])
+        for _ in range(rng.randrange(0, 4)):
+            p[rng.randrange(45)] = rng.choice("ACGTN")
+        patterns.append((i, "".join(p)))
+    texts, pats = spark.createDataFrame([(1, text)], "ref_id int, seq string"), spark.createDataFrame(patterns, "query_id int, pattern string")
+    for exact in (0, 10):
+        got = sorted(tuple(r) for r in lookup.mismatch_search(texts, pats, 45, 2, exact).collect())
+        want = sorted((i, 1, at, d) for i, p in patterns for at in range(len(text) - 44) if (d := sum(a != b for a, b in zip(p, text[at : at + 45], strict=True))) <= 2 and (not exact or p[-exact:] == text[at + 45 - exact : at + 45]))
+        assert got == want
