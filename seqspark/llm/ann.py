@@ -8,6 +8,10 @@ the sample; every vector in one of its leaves is a candidate and is scored exact
 stopping rule is a share, not a number, so that recall does not fall as the table grows; the share is the least
 that finds TARGET of the sample's own neighbours, which in a larger table lie deeper than the k nearest do.
 
+Queries meet rows by a join on the leaf: a row goes to its leaf in each tree, a query to the leaves that it takes,
+and only these pairs are scored.  A leaf with more than ``ROWS`` rows is split, and its queries go to every part.
+A task holds one part's rows and a block of queries.
+
 Equal vectors are indexed once with their smallest ids: of equal scores the smaller id wins, so no others can be
 among the first k.
 
@@ -27,12 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Bound of the sample that the trees are grown on; trees; vectors in a leaf.
-SAMPLE, TREES, LEAF = 20_000, 16, 96
+#: Bound of the sample that the trees are grown on; trees; vectors of the table in a leaf (more once the sample's leaves have 8).
+SAMPLE, TREES, LEAF = 20_000, 4, 512
 #: Recall asked for on the sample, and the sample's queries that measure it.
-TARGET, PROBES = 0.95, 96
-#: Vectors, and queries, of a block in reranking.
-ROWS, QUERIES = 4096, 512
+TARGET, PROBES = 0.93, 96
+#: Most vectors of a leaf in a task, and queries that they are multiplied with at once.
+ROWS, QUERIES = 8192, 512
 
 
 @dataclass
@@ -140,19 +144,17 @@ def calibrate(forest: list[Tree], x: np.ndarray, k: int, target: float = TARGET,
     return high / 32
 
 
-def rerank(q: np.ndarray, taken: np.ndarray, x: np.ndarray, leaves: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of each query's k best candidates of this block; leaves: (rows, trees), numbered over the forest."""
-    mask = np.zeros((len(q), len(x)), bool)
-    for t in range(leaves.shape[1]):
-        mask |= taken[:, leaves[:, t]]
-    scores = np.where(mask, q.astype(float) @ x.astype(float).T, -np.inf)
+def rerank(q: np.ndarray, x: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of each query's k best rows, by double-precision inner product."""
+    qd, xd = q.astype(float), x.astype(float)
+    scores = qd @ xd.T
     if len(x) > k:
         floor = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
-        keep = mask & (scores >= floor[:, None] - 1e-12 * np.abs(np.where(np.isfinite(floor), floor, 0))[:, None])
+        keep = scores >= floor[:, None] - 1e-12 * np.abs(floor)[:, None]
     else:
-        keep = mask
+        keep = np.ones(scores.shape, bool)
     i, j = np.nonzero(keep)
-    exact = (q[i].astype(float) * x[j].astype(float)).sum(1)  # the same order of sums for every pair
+    exact = (qd[i] * xd[j]).sum(1)  # the same order of sums for every pair, in whatever task
     order = np.lexsort((least[j], -exact, i))
     i, j, exact = i[order], j[order], exact[order]
     first = np.r_[0, np.flatnonzero(i[1:] != i[:-1]) + 1] if len(i) else np.zeros(0, int)
@@ -162,7 +164,8 @@ def rerank(q: np.ndarray, taken: np.ndarray, x: np.ndarray, leaves: np.ndarray,
 
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(id, v): valid vectors, one for each id."""
-    v = F.col(vector).cast("array<float>")
+    double = vectors.schema[vector].dataType.elementType.typeName() == "double"
+    v = F.col(vector).cast("array<double>" if double else "array<float>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("v", lambda x: x != 0)
     ok = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
@@ -198,20 +201,16 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
     share = calibrate(forest, plain, k, target)
 
     def matrix(column) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
     def index(batches):
         import pyarrow as pa
 
         for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                part = b.slice(i, ROWS)
-                x = matrix(part.column("v")).astype(np.float32)
-                at = np.stack([leaves_of(t, extended(x)) + o for t, o in zip(forest, offsets, strict=False)], 1).astype(np.int32)
-                ids = part.column("ids")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes()]), pa.array([at.tobytes()]), pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64())))], names=["x", "leaves", "ids"]
-                )
+            x = extended(matrix(b.column("v")))
+            at = np.stack([leaves_of(t, x) + o for t, o in zip(forest, offsets, strict=False)], 1).astype(np.int32)
+            yield b.append_column("leaves", pa.ListArray.from_arrays(np.arange(0, at.size + 1, at.shape[1], dtype=np.int32), at.reshape(-1)))
 
     def ask(batches):
         import pyarrow as pa
@@ -219,36 +218,56 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
         for b in batches:
             for i in range(0, b.num_rows, QUERIES):
                 part = b.slice(i, QUERIES)
-                q = matrix(part.column("v")).astype(np.float32)
-                away = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
-                taken = visits(forest, away, share, len(base))
-                yield pa.RecordBatch.from_arrays([pa.array([q.tobytes()]), pa.array([np.packbits(taken, axis=1).tobytes()]), pa.array([part.column("least").to_pylist()], pa.list_(pa.int64()))], names=["q", "taken", "qids"])
-
+                q = matrix(part.column("v")).astype(np.float64)
+                taken = visits(forest, np.hstack([q, np.zeros((len(q), 1))]), share, len(base))
+                ends = np.r_[0, taken.sum(1).cumsum()].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("least"), part.column("v"), pa.ListArray.from_arrays(ends, np.nonzero(taken)[1].astype(np.int32))], names=["least", "v", "leaves"])
+
+    kind = distinct.schema["v"].dataType.simpleString()
+    indexed = cut(distinct.select("least", "v", "ids").mapInArrow(index, f"least long, v {kind}, ids array<long>, leaves array<int>"))
+    # a row for each leaf, fewer than the sample has rows for each tree
+    parts = indexed.select(F.explode("leaves").alias("at")).groupBy("at").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("_parts"))
+    spread = indexed.select("least", "v", "ids", F.explode("leaves").alias("at")).join(F.broadcast(parts), "at").withColumn("part", F.pmod(F.xxhash64("least"), F.col("_parts")).cast("int"))
     asked = rows.where(queries(F.col("id")))
     of_query = asked.join(distinct.select("v", "least"), "v").select(F.col("id").alias("query_id"), "least")
-    # queries in blocks against all rows in blocks: each row block meets each query block once
-    query_blocks = cut(of_query.select("least").distinct().join(distinct.select("v", "least"), "least").mapInArrow(ask, "q binary, taken binary, qids array<long>").withColumn("_at", F.monotonically_increasing_id()))
-    places = [r[0] for r in query_blocks.select("_at").orderBy("_at").collect()]  # a number for each QUERIES query vectors
-    if not places:
-        return spark.createDataFrame([], empty)
-    row_blocks = distinct.mapInArrow(index, "x binary, leaves binary, ids array<array<long>>").withColumn("_at", F.explode(F.array(*map(F.lit, places))))
+    sought = of_query.select("least").distinct().join(distinct.select("least", "v"), "least").mapInArrow(ask, f"least long, v {kind}, leaves array<int>")
+    sought = sought.select("least", "v", F.explode("leaves").alias("at")).join(F.broadcast(parts), "at").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    keys = ["at", "part"]
+    met = spread.select(*keys, F.lit(False).alias("asks"), "least", "v", "ids").unionByName(sought.select(*keys, F.lit(True).alias("asks"), "least", "v", F.array().cast("array<long>").alias("ids")))
+    dealt = met.repartition(*keys).sortWithinPartitions(*keys, "asks")
 
     def best(batches):
         import pyarrow as pa
 
+        at = part = None
+        held: list = []  # the rows of the part, which come before its queries
+        x = least = ids = None
         for b in batches:
-            for r in b.to_pylist():
-                q = np.frombuffer(r["q"], np.float32).reshape(-1, width)
-                taken = np.unpackbits(np.frombuffer(r["taken"], np.uint8).reshape(len(q), -1), axis=1, count=int(offsets[-1])).astype(bool)
-                x = np.frombuffer(r["x"], np.float32).reshape(-1, width)
-                ids = r["ids"]
-                i, j, s = rerank(q, taken, x, np.frombuffer(r["leaves"], np.int32).reshape(len(x), -1), np.array([a[0] for a in ids]), k + 1)
-                qid = np.array(r["qids"])[i]
-                times = np.array([len(ids[m]) for m in j], int)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, times), pa.int64()), pa.array([a for m in j for a in ids[m]], pa.int64()), pa.array(np.repeat(s, times), pa.float64())], names=["least", "vec_id", "score"])
-
-    scored = row_blocks.join(query_blocks, "_at").select("q", "taken", "qids", "x", "leaves", "ids").mapInArrow(best, "least long, vec_id long, score double")
-    top = scored.withColumn("_r", F.row_number().over(Window.partitionBy("least").orderBy(F.desc("score"), "vec_id"))).where(F.col("_r") <= k + 1).drop("_r")
+            a, p, asks = (b.column(c).to_numpy(zero_copy_only=False) for c in ("at", "part", "asks"))
+            starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (p[1:] != p[:-1]) | (asks[1:] != asks[:-1])])
+            for lo, hi in zip(starts, np.r_[starts[1:], len(a)], strict=True):
+                if (a[lo], p[lo]) != (at, part):
+                    at, part, held, x = a[lo], p[lo], [], None
+                run = b.slice(lo, hi - lo)
+                if not asks[lo]:
+                    held.append(run)
+                    continue
+                if not held:
+                    continue
+                if x is None:
+                    t = pa.Table.from_batches(held)
+                    x, least, ids = matrix(t.column("v")), t.column("least").to_numpy(), t.column("ids").to_pylist()
+                for i in range(0, run.num_rows, QUERIES):
+                    some = run.slice(i, QUERIES)
+                    qi, j, s = rerank(matrix(some.column("v")), x, least, k + 1)
+                    times = np.array([len(ids[m]) for m in j], int)
+                    names = np.array([v for m in j for v in ids[m]], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column("least").to_numpy()[qi], times), pa.int64()), pa.array(names, pa.int64()), pa.array(np.repeat(s, times), pa.float64())], names=["least", "vec_id", "score"])
+
+    scored = dealt.mapInArrow(best, "least long, vec_id long, score double")
+    # a vector that several trees find has one rank; ranks are limited within tasks before the shuffle
+    order = Window.partitionBy("least").orderBy(F.desc("score"), "vec_id")
+    top = scored.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= k + 1).select("least", "vec_id", "score").distinct()
     pairs = of_query.join(top, "least").where("query_id <> vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
