@@ -162,6 +162,37 @@ def rerank(q: np.ndarray, x: np.ndarray, least: np.ndarray, k: int) -> tuple[np.
     return i[rank < k], j[rank < k], exact[rank < k]
 
 
+class Best:
+    """The k best of each query that a task has found so far: (least, vec_id, score); ``most`` rows are held at once."""
+
+    def __init__(self, k: int, most: int = 1 << 20):
+        self.k, self.most, self.held, self.size, self.next = k, most, [], 0, most
+
+    def add(self, least: np.ndarray, vec_id: np.ndarray, score: np.ndarray):
+        """Yields rows once even the best of the queries are too many to hold."""
+        self.held.append((least, vec_id, score))
+        self.size += len(least)
+        if self.size > self.next:
+            rows = self.reduce()
+            if len(rows[0]) > self.most // 2:
+                self.held, self.size = [], 0
+                yield rows
+
+    def reduce(self) -> tuple[np.ndarray, ...]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least, vec_id, score = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((vec_id, -score, least))
+        least, vec_id, score = least[order], vec_id[order], score[order]
+        new = np.r_[True, (least[1:] != least[:-1]) | (vec_id[1:] != vec_id[:-1])]  # found in several trees: equal scores are neighbours
+        least, vec_id, score = least[new], vec_id[new], score[new]
+        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        rank = np.arange(len(least)) - np.repeat(first, np.diff(np.r_[first, len(least)]))
+        ok = rank < self.k
+        self.held, self.size = [(least[ok], vec_id[ok], score[ok])], int(ok.sum())
+        return self.held[0]
+
+
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(id, v): valid vectors, one for each id."""
     double = vectors.schema[vector].dataType.elementType.typeName() == "double"
@@ -239,6 +270,13 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
     def best(batches):
         import pyarrow as pa
 
+        found = Best(k + 1)
+
+        def batch(least, vec_id, score):
+            for i in range(0, len(least), 1 << 16):
+                to = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(least[to], pa.int64()), pa.array(vec_id[to], pa.int64()), pa.array(score[to], pa.float64())], names=["least", "vec_id", "score"])
+
         at = part = None
         held: list = []  # the rows of the part, which come before its queries
         x = least = ids = None
@@ -262,7 +300,9 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
                     qi, j, s = rerank(matrix(some.column("v")), x, least, k + 1)
                     times = np.array([len(ids[m]) for m in j], int)
                     names = np.array([v for m in j for v in ids[m]], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column("least").to_numpy()[qi], times), pa.int64()), pa.array(names, pa.int64()), pa.array(np.repeat(s, times), pa.float64())], names=["least", "vec_id", "score"])
+                    for rows in found.add(np.repeat(some.column("least").to_numpy()[qi], times), names, np.repeat(s, times)):
+                        yield from batch(*rows)
+        yield from batch(*found.reduce())
 
     scored = dealt.mapInArrow(best, "least long, vec_id long, score double")
     # a vector that several trees find has one rank; ranks are limited within tasks before the shuffle
