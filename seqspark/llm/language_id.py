@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, table
+from .common import cut, held_out, map_texts, table
 
 MAYBE_LETTER = re.compile(r"[^\W\d_]")
 WIDTHS = (2, 3, 4)
@@ -153,8 +153,11 @@ def fit(docs: DataFrame, bound: int = PER_LANG) -> ByteCnn | None:
     Every language is drawn equally often, and every document of a language.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit(7), F.col("_id")), "_id")
-    ids = usable.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    ids = cut(usable.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
+    # ids whose hash is far above the lowest of a common language don't go to its ranking: four times the bound does
+    counts = ids.groupBy("_lang").agg((F.lit(4.0 * bound) / F.count("*")).alias("_share"))
+    ids = ids.withColumn("_h", F.pmod(F.xxhash64(F.lit(7), F.col("_id")), F.lit(1 << 32))).join(F.broadcast(counts), "_lang").where(F.col("_h") <= F.col("_share") * (1 << 32)).drop("_share")
+    order = Window.partitionBy("_lang").orderBy("_h", "_id")
     ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= bound).drop("_n")
     chosen = usable.join(F.broadcast(ids), (usable["doc_id"] == ids["_id"]) & (usable["lang"] == ids["_lang"]), "left_semi")
 
