@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import EDIT, preset, simple, simple_affine
 from ..operators import reduce
 from ..operators.align import align_score, align_traceback, edit_distance_global
-from ..operators.derive import READS_SQL, reads, sequences, table
+from ..operators.derive import READS_SQL, qualities, reads, sequences, table
 from ..plans import aligner
 
 QUERIES, ORACLES = {}, {}
@@ -83,13 +83,31 @@ def align_reads_all(spark, sf_dir):
     return aligner.align_all(reads(spark, sf_dir), sequences(spark, sf_dir), aligner.Parameters(seed_length=16))
 
 
-@register("align_read_pairs")
-def align_read_pairs(spark, sf_dir):
-    """The two halves of every item; those that are too short to align are rows without a place."""
+@register("align_reads_quality")
+def align_reads_quality(spark, sf_dir):
+    """Base qualities decide the cost of a mismatch."""
+    return aligner.align(qualities(reads(spark, sf_dir)), sequences(spark, sf_dir), aligner.Parameters(seed_length=16))
+
+
+def halves(spark, sf_dir):
+    """The two halves of every item as mates, the second on the other strand."""
     half = F.floor(F.col("len") / 2).cast("int")
     rest = F.substring("seq", half + 1, F.col("len") - half)
-    mates = reads(spark, sf_dir).select("read_id", F.substring("seq", F.lit(1), half).alias("seq1"), F.reverse(F.translate(rest, "ACGT", "TGCA")).alias("seq2"))
-    return aligner.align_pairs(mates, sequences(spark, sf_dir), aligner.Parameters(seed_length=16))
+    return reads(spark, sf_dir).select("read_id", F.substring("seq", F.lit(1), half).alias("seq1"), F.reverse(F.translate(rest, "ACGT", "TGCA")).alias("seq2"))
+
+
+@register("align_read_pairs")
+def align_read_pairs(spark, sf_dir):
+    """Halves of items as pairs; those that are too short to align are rows without a place."""
+    return aligner.align_pairs(halves(spark, sf_dir), sequences(spark, sf_dir), aligner.Parameters(seed_length=16))
+
+
+@register("align_pair_records")
+def align_pair_records(spark, sf_dir):
+    from ..sources.writers import sam_lines
+
+    contigs = sequences(spark, sf_dir).select("ref_id", F.concat(F.lit("doc"), F.col("ref_id").cast("string")).alias("name"))
+    return sam_lines(aligner.pair_records(align_read_pairs(spark, sf_dir), halves(spark, sf_dir), contigs))
 
 
 @register("align_records")
@@ -177,7 +195,7 @@ def mate_windows(spark, sf_dir):
 def active_states(spark, sf_dir):
     """Rounds over reads that are still open: a round looks at a fifth of the hits, a read is done at its first good one."""
     from ..streaming.reads import active_rounds
-    from .files import folder
+    from ..sources.store import folder
 
     h = hits(spark, sf_dir)
 
@@ -196,7 +214,7 @@ def active_states(spark, sf_dir):
 def streamed_scores(spark, sf_dir):
     """The state of every read after four micro-batches."""
     from ..streaming.reads import best_score_state
-    from .files import folder
+    from ..sources.store import folder
 
     source, out = folder(spark), folder(spark)
     h = hits(spark, sf_dir).select("read_id", "score")
@@ -210,8 +228,8 @@ def streamed_scores(spark, sf_dir):
 
 @register("streamed_reads", f"SELECT read_id, len::INT AS len FROM ({READS_SQL})")
 def streamed_reads(spark, sf_dir):
+    from ..sources.store import folder
     from ..streaming.reads import align_stream, read_stream
-    from .files import folder
 
     path = folder(spark)
     reads(spark, sf_dir).select("read_id", "seq", F.col("len").cast("int").alias("len")).repartition(3).write.parquet(f"{path}/in")

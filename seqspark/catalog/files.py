@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import index
 from ..operators.derive import CONTIGS_SQL, READS_SQL, contigs, qualities, reads, sequences, table
 from ..sources import readers, writers
+from ..sources.store import folder
 from .indexes import BWT_SQL, bwt_of, texts
 from .records import side, side_sql
 from .symbols import DOCS
@@ -28,19 +27,6 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def folder(spark) -> str:
-    """A new folder below the one that all executors share; it goes with the driver."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "seqspark-files")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 @register("fasta_round_trip", f"SELECT 'doc' || doc_id AS name, md5(seq) AS seq, length(seq)::INT AS len FROM {DOCS}")
 def fasta_round_trip(spark, sf_dir):
     """Headers with a remark, lines of 60 symbols."""

@@ -1,7 +1,8 @@
 """Pairwise alignment scores and tracebacks as Arrow-batched functions over numpy anti-diagonals.
 
 Edit distance, linear-gap and affine-gap aligners; global, local and semi-global (free text ends) modes; full or
-banded.  A batch of pairs is scored together: a step handles one anti-diagonal of all pairs at once.
+banded.  A batch of pairs is scored together: a step handles one anti-diagonal of all pairs at once.  A band holds
+the diagonals from ``low`` to ``low + band - 1`` (text place less pattern place) and only their cells are stored.
 
 Rules: the pattern runs along j, the text along i.  Deletion consumes text, insertion consumes pattern.
 Substitution wins ties against gaps; between gaps a full matrix prefers insertion, a banded one deletion.  A gap
@@ -23,6 +24,7 @@ from ..functions.scoring import EDIT, Scheme
 LOW = -(1 << 28)
 MODES = ("global", "local", "semi_global")
 MAX_CELLS = 1 << 24
+FULL = 1 << 40  # stands for the lowest diagonal of a pair that takes the full matrix
 
 
 def _codes(strings: list[str], width: int, pad: int) -> np.ndarray:
@@ -34,15 +36,19 @@ def _codes(strings: list[str], width: int, pad: int) -> np.ndarray:
 
 
 class Matrix:
-    """The DP of a batch: H for every cell; with ``trace`` also the directions (0 stop, 1 substitution, 2 insertion, 3 deletion) and extension bits."""
+    """The DP of a batch: H for every cell; with ``trace`` also the directions (0 stop, 1 substitution, 2 insertion, 3 deletion) and extension bits.
 
-    def __init__(self, patterns: list[str], texts: list[str], scheme: Scheme, mode: str, band: int | None = None, quals: list | None = None, trace: bool = False):
+    Planes are laid out by text and pattern place, banded ones by diagonal and pattern place with an empty diagonal
+    at either side.  Gap scores are kept for the last anti-diagonal only, by pattern place.
+    """
+
+    def __init__(self, patterns: list[str], texts: list[str], scheme: Scheme, mode: str, band: int | None = None, quals: list | None = None, trace: bool = False, low: int = 0):
         assert mode in MODES
         n = len(patterns)
         self.m, self.n = np.array([len(p) for p in patterns]), np.array([len(t) for t in texts])
         big_m, big_n = int(self.m.max(initial=0)), int(self.n.max(initial=0))
         p, t = _codes(patterns, big_m, 1), _codes(texts, big_n, 2)
-        self.mode, self.band, self.scheme = mode, band, scheme
+        self.mode, self.band, self.low, self.scheme = mode, band, low, scheme
         ins = (scheme.pattern_open, scheme.pattern_extend)
         dele = (scheme.text_open, scheme.text_extend)
         miss = np.full((n, big_m), scheme.mismatch_max, np.int32)
@@ -51,62 +57,73 @@ class Matrix:
                 if q is not None:
                     miss[i, : len(q)] = scheme.mismatch(np.asarray(q))
         local = mode == "local"
-        h = np.full((n, big_n + 1, big_m + 1), LOW, np.int32)
-        e, f = np.full_like(h, LOW), np.full_like(h, LOW)  # ending in an insertion, in a deletion
+        h = np.full((n, big_n + 1 if band is None else band + 2, big_m + 1), LOW, np.int32)
+        e, f = np.full((n, big_m + 1), LOW, np.int32), np.full((n, big_m + 1), LOW, np.int32)  # ending in an insertion, in a deletion
         rows, cols = np.arange(big_n + 1), np.arange(big_m + 1)
+        rows, cols = rows[self._inside(rows, 0)], cols[self._inside(0, cols)]
         first = lambda gap, k: np.where(k > 0, gap[0] + gap[1] * (k - 1), 0)
-        h[:, 0, :] = 0 if local else first(ins, cols)
-        h[:, :, 0] = first(dele, rows)[None] if mode == "global" else 0
-        if band is not None:
-            off = (rows[:, None] - cols[None] < 0) | (rows[:, None] - cols[None] >= band)
-            h[:, off] = LOW
+        h[:, *self._at(0 * cols, cols)] = 0 if local else first(ins, cols)
+        h[:, *self._at(rows, 0 * rows)] = first(dele, rows)[None] if mode == "global" else 0
         self.dir = np.zeros(h.shape, np.uint8) if trace else None
         self.ext_e = np.zeros(h.shape, bool) if trace else None
         self.ext_f = np.zeros(h.shape, bool) if trace else None
         for d in range(2, big_n + big_m + 1):
             i = np.arange(max(1, d - big_m), min(big_n, d - 1) + 1)
             j = d - i
-            if band is not None:
-                ok = (i - j >= 0) & (i - j < band)
-                i, j = i[ok], j[ok]
+            ok = self._inside(i, j)
+            i, j = i[ok], j[ok]
             if not len(i):
                 continue
+            here, left, top, before = self._at(i, j), self._at(i, j - 1), self._at(i - 1, j), self._at(i - 1, j - 1)
             same = (p[:, j - 1] == t[:, i - 1]) & (p[:, j - 1] != 78)
             unknown = (p[:, j - 1] == 78) | (t[:, i - 1] == 78)
-            diag = h[:, i - 1, j - 1] + np.where(same, scheme.match, np.where(unknown & (quals is not None), scheme.n_penalty, miss[:, j - 1]))
-            left_open, left_ext = h[:, i, j - 1] + ins[0], e[:, i, j - 1] + ins[1]
-            top_open, top_ext = h[:, i - 1, j] + dele[0], f[:, i - 1, j] + dele[1]
+            diag = h[:, *before] + np.where(same, scheme.match, np.where(unknown & (quals is not None), scheme.n_penalty, miss[:, j - 1]))
+            left_open, left_ext = h[:, *left] + ins[0], np.where(self._inside(i, j - 1), e[:, j - 1], LOW) + ins[1]
+            top_open, top_ext = h[:, *top] + dele[0], f[:, j] + dele[1]
             ext_e, ext_f = left_ext > left_open, top_ext > top_open
             ev, fv = np.maximum(left_open, left_ext), np.maximum(top_open, top_ext)
             best = np.maximum(np.maximum(diag, ev), fv)
             if local:
                 best = np.maximum(best, 0)
-            h[:, i, j], e[:, i, j], f[:, i, j] = best, ev, fv
+            h[:, *here], e[:, j], f[:, j] = best, ev, fv
             if trace:
                 gap = np.where(ev > fv, 2, np.where(fv > ev, 3, 2 if band is None else 3))
                 to = np.where(diag >= np.maximum(ev, fv), 1, gap).astype(np.uint8)
                 if local:
                     to[best == 0] = 0
-                self.dir[:, i, j], self.ext_e[:, i, j], self.ext_f[:, i, j] = to, ext_e, ext_f
+                self.dir[:, *here], self.ext_e[:, *here], self.ext_f[:, *here] = to, ext_e, ext_f
         self.h = h
 
+    def _inside(self, i, j):
+        d = np.asarray(i - j)
+        return np.ones(d.shape, bool) if self.band is None else (d >= self.low) & (d < self.low + self.band)
+
+    def _at(self, i, j):
+        return (i, j) if self.band is None else (i - j - self.low + 1, j)
+
     def sinks(self, count: int = 1, distinct: int = 0) -> list[list[tuple[int, int, int]]]:
         """For each pair its best (score, text end, pattern end), and with ``count`` 2 the best one more than ``distinct`` away in the text."""
         out = []
         for k in range(len(self.m)):
             m, n = int(self.m[k]), int(self.n[k])
             if self.mode == "global":
-                cells = [(int(self.h[k, n, m]), n, m)] if self.band is None or 0 <= n - m < self.band else []
+                cells = [(int(self.h[k, *self._at(n, m)]), n, m)] if self._inside(n, m) else []
             elif self.mode == "semi_global":
-                column = self.h[k, : n + 1, m]
-                cells = [(int(column[i]), i, m) for i in range(0 if m == 0 else 1, n + 1)]
-            else:
+                ends = np.arange(0 if m == 0 else 1, n + 1)
+                ends = ends[self._inside(ends, m)]
+                cells = [(int(v), int(i), m) for v, i in zip(self.h[k, *self._at(ends, m)], ends, strict=True)]
+            elif self.band is None:
                 box = self.h[k, : n + 1, : m + 1]
                 j = (m - box[:, ::-1].argmax(1)) if m else np.zeros(n + 1, int)
                 cells = [(int(box[i, j[i]]), i, int(j[i])) for i in range(n + 1)]
+            else:  # a text row's cells, largest pattern end first
+                i = np.arange(n + 1)[:, None]
+                j = i - self.low - np.arange(self.band)
+                real = (j >= 0) & (j <= m)
+                box = np.where(real, self.h[k, np.arange(self.band) + 1, np.clip(j, 0, m)], LOW)
+                at = box.argmax(1)
+                cells = [(int(box[r, c]), r, int(j[r, c])) for r, c in enumerate(at)]
             cells = [c for c in cells if c[0] > LOW // 2]
-            if self.band is not None and n < m:
-                cells = []
             found = [max(cells)] if cells else []
             if count > 1 and found:
                 far = [c for c in cells if abs(c[1] - found[0][1]) > distinct]
@@ -118,8 +135,9 @@ class Matrix:
         """(operations end to start, text begin, pattern begin)."""
         ops, state = [], "h"
         while i > 0 and j > 0:
+            at = self._at(i, j)
             if state == "h":
-                to = self.dir[k, i, j]
+                to = self.dir[k, *at]
                 if to == 0:
                     break
                 if to == 1:
@@ -129,11 +147,11 @@ class Matrix:
                 state = "e" if to == 2 else "f"
             if state == "e":
                 ops.append("I")
-                state = "e" if self.ext_e[k, i, j] else "h"
+                state = "e" if self.ext_e[k, *at] else "h"
                 j -= 1
             else:
                 ops.append("D")
-                state = "f" if self.ext_f[k, i, j] else "h"
+                state = "f" if self.ext_f[k, *at] else "h"
                 i -= 1
         if self.mode != "local":
             ops += ["I"] * j
@@ -184,12 +202,12 @@ def describe(pattern: str, text: str, ops: str) -> tuple[str, int, int, int, int
     return "".join(md) + str(same), mm + opens + exts, mm, opens, exts, matches
 
 
-def _blocks(order: np.ndarray, cells: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of like size together, as many as fit MAX_CELLS."""
+def _blocks(order: np.ndarray, cells: np.ndarray, low: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of like size and one lowest diagonal together, as many as fit MAX_CELLS."""
     start = 0
     while start < len(order):
         end = start + 1
-        while end < len(order) and cells[order[end]] * (end + 1 - start) <= MAX_CELLS:
+        while end < len(order) and low[order[end]] == low[order[start]] and cells[order[end]] * (end + 1 - start) <= MAX_CELLS:
             end += 1
         yield order[start:end]
         start = end
@@ -199,21 +217,24 @@ SCORE_FIELDS = "score int, text_end int, pattern_end int, second_score int, seco
 TRACE_FIELDS = "score int, text_begin int, text_end int, pattern_begin int, pattern_end int, cigar string, ops_rev string, md string, ed int, n_mm int, n_gapo int, n_gape int"
 
 
-def _aligner(scheme: Scheme, mode: str, band: int | None, with_trace: bool, pattern: str, text: str, qual: str | None, min_score: str | None, distinct: int, drop: tuple[str, ...]):
+def _aligner(scheme: Scheme, mode: str, band: int | None, with_trace: bool, pattern: str, text: str, qual: str | None, min_score: str | None, distinct: int, drop: tuple[str, ...], low: str | None = None):
     fields = [f.split()[0] for f in (TRACE_FIELDS if with_trace else SCORE_FIELDS).split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ps, ts = b[pattern].tolist(), b[text].tolist()
             known = np.array([p is not None and t is not None for p, t in zip(ps, ts, strict=True)], bool)
-            cells = np.array([(len(p or "") + 1) * (len(t or "") + 1) for p, t in zip(ps, ts, strict=True)], np.int64)
+            lows = b[low].fillna(FULL).to_numpy(np.int64) if low else np.zeros(len(b), np.int64)
+            if band is None:
+                lows[:] = FULL
+            cells = np.array([(len(p or "") + 1) * (len(t or "") + 1 if at == FULL else band + 2) for p, t, at in zip(ps, ts, lows, strict=True)], np.int64)
             out: list = [(None,) * len(fields)] * len(b)
             order = np.flatnonzero(known)
-            order = order[np.argsort(cells[order], kind="stable")]
+            order = order[np.lexsort((cells[order], lows[order]))]
             least = b[min_score].tolist() if min_score else None
-            for block in _blocks(order, cells):
+            for block in _blocks(order, cells, lows):
                 quals = [b[qual].iloc[k] for k in block] if qual else None
-                mx = Matrix([ps[k] for k in block], [ts[k] for k in block], scheme, mode, band, quals, with_trace)
+                mx = Matrix([ps[k] for k in block], [ts[k] for k in block], scheme, mode, None if lows[block[0]] == FULL else band, quals, with_trace, int(lows[block[0]]))
                 for at, found in enumerate(mx.sinks(1 if with_trace else 2, distinct)):
                     k = block[at]
                     if not found or least is not None and found[0][0] < least[k]:
@@ -236,22 +257,25 @@ def _aligner(scheme: Scheme, mode: str, band: int | None, with_trace: bool, patt
     return run
 
 
-def _apply(df: DataFrame, fields: str, with_trace: bool, scheme: Scheme, mode: str, band: int | None, pattern: str, text: str, qual: str | None, min_score: str | None, distinct: int = 0, drop: tuple[str, ...] = ()) -> DataFrame:
+def _apply(df: DataFrame, fields: str, with_trace: bool, scheme: Scheme, mode: str, band: int | None, pattern: str, text: str, qual: str | None, min_score: str | None, distinct: int = 0, drop: tuple[str, ...] = (), low: str | None = None) -> DataFrame:
     from pyspark.sql import types as T
 
     kept = [f for f in df.schema.fields if f.name not in drop]
     schema = T.StructType(kept + T._parse_datatype_string(fields).fields)
-    return df.mapInPandas(_aligner(scheme, mode, band, with_trace, pattern, text, qual, min_score, distinct, drop), schema)
+    return df.mapInPandas(_aligner(scheme, mode, band, with_trace, pattern, text, qual, min_score, distinct, drop, low), schema)
+
 
+def align_score(df: DataFrame, scheme: Scheme = EDIT, mode: str = "semi_global", band: int | None = None, pattern: str = "pattern", text: str = "text", qual: str | None = None, min_score: str | None = None, distinct: int = 0, drop: tuple[str, ...] = (), low: str | None = None) -> DataFrame:
+    """Adds score, text_end, pattern_end and the second best more than ``distinct`` text symbols away; null below ``min_score``.
 
-def align_score(df: DataFrame, scheme: Scheme = EDIT, mode: str = "semi_global", band: int | None = None, pattern: str = "pattern", text: str = "text", qual: str | None = None, min_score: str | None = None, distinct: int = 0, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds score, text_end, pattern_end and the second best more than ``distinct`` text symbols away; null below ``min_score``."""
-    return _apply(df, SCORE_FIELDS, False, scheme, mode, band, pattern, text, qual, min_score, distinct, drop)
+    ``qual`` names a column of Phred values of the pattern, ``low`` one with the band's lowest diagonal (default 0; null: the full matrix).
+    """
+    return _apply(df, SCORE_FIELDS, False, scheme, mode, band, pattern, text, qual, min_score, distinct, drop, low)
 
 
-def align_traceback(df: DataFrame, scheme: Scheme = EDIT, mode: str = "semi_global", band: int | None = None, pattern: str = "pattern", text: str = "text", qual: str | None = None, min_score: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+def align_traceback(df: DataFrame, scheme: Scheme = EDIT, mode: str = "semi_global", band: int | None = None, pattern: str = "pattern", text: str = "text", qual: str | None = None, min_score: str | None = None, drop: tuple[str, ...] = (), low: str | None = None) -> DataFrame:
     """Adds score, begins and ends, CIGAR (with soft clips), ops_rev, MD, edit distance and gap counts."""
-    return _apply(df, TRACE_FIELDS, True, scheme, mode, band, pattern, text, qual, min_score, 0, drop)
+    return _apply(df, TRACE_FIELDS, True, scheme, mode, band, pattern, text, qual, min_score, 0, drop, low)
 
 
 def edit_distance_global(pattern, text):
@@ -260,7 +284,12 @@ def edit_distance_global(pattern, text):
 
 
 def extension_window(df: DataFrame, band: int, genome: str = "ref_seq", pos: str = "pos", length: str = "len", out: str = "text") -> DataFrame:
-    """Adds the text that a hit is extended over, from pos - band / 2 and clipped to the sequence, and its begin."""
-    begin = F.greatest(F.col(pos) - band // 2, F.lit(0))
-    stop = F.least(F.col(pos) - band // 2 + F.col(length) + band, F.length(genome))
-    return df.withColumn("text_from", begin.cast("int")).withColumn(out, F.substring(genome, begin.cast("int") + 1, F.greatest(stop - begin, F.lit(0)).cast("int")))
+    """Adds the text that a hit is extended over, from pos - band / 2 and clipped to the sequence, its begin and the band's lowest diagonal in it.
+
+    Where the window is clipped at the sequence's begin the diagonals stay those of the hit: ``low`` is below 0.
+    """
+    whole = F.col(pos) - band // 2
+    begin = F.greatest(whole, F.lit(0))
+    stop = F.least(whole + F.col(length) + band, F.length(genome))
+    out_df = df.withColumn("text_from", begin.cast("int")).withColumn("low", (whole - begin).cast("int"))
+    return out_df.withColumn(out, F.substring(genome, begin.cast("int") + 1, F.greatest(stop - begin, F.lit(0)).cast("int")))

@@ -20,12 +20,18 @@ def kmers(texts: DataFrame, k: int, key: str = "ref_id", seq: str = "seq", step:
     return rows.select(key, "pos", F.substring("_s", F.col("pos") + 1, F.lit(k)).cast("string").alias(out))
 
 
-def seeds(reads: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, retry: int = 0, max_reseed: int = MAX_RESEED, both_strands: bool = True) -> DataFrame:
-    """(read_id, pos_in_read, rc, seed): seeds of both strands; a retry starts one stride later.  Seeds with an N are dropped."""
-    start = retry * (interval // (max_reseed + 1))
+def seed_starts(interval: int, retries: tuple[int, ...], max_reseed: int = MAX_RESEED) -> list[int]:
+    """Where the seeds of each retry start: one stride later every time."""
+    return sorted({r * (interval // (max_reseed + 1)) for r in retries})
+
+
+def seeds(reads: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, retry: int | tuple[int, ...] = 0, max_reseed: int = MAX_RESEED, both_strands: bool = True) -> DataFrame:
+    """(read_id, pos_in_read, rc, seed): seeds of both strands; a retry starts one stride later, several may be taken at once.  Seeds with an N are dropped."""
+    starts = seed_starts(interval, retry if isinstance(retry, tuple) else (retry,), max_reseed)
     last = F.length("seq") - length
     strands = F.array(*[F.struct(F.lit(0).alias("rc"), F.col("seq").alias("s"))] + ([F.struct(F.lit(1).alias("rc"), reverse_complement(F.col("seq")).alias("s"))] if both_strands else []))
-    rows = reads.where(last >= start).select("read_id", F.explode(strands).alias("_v"), F.sequence(F.lit(start), last, F.lit(interval)).alias("_p"))
+    places = F.flatten(F.array(*(F.when(last >= s, F.sequence(F.lit(s), F.greatest(last, F.lit(s)), F.lit(interval))).otherwise(F.array().cast("array<int>")) for s in starts)))
+    rows = reads.where(last >= starts[0]).select("read_id", F.explode(strands).alias("_v"), places.alias("_p"))
     rows = rows.select("read_id", F.col("_v.rc").alias("rc"), F.col("_v.s").alias("_s"), F.explode("_p").alias("pos_in_read"))
     return rows.select("read_id", "pos_in_read", "rc", F.substring("_s", F.col("pos_in_read") + 1, F.lit(length)).alias("seed")).where(~F.contains("seed", F.lit("N")))
 
@@ -121,7 +127,7 @@ def mismatch_search(texts: DataFrame, patterns: DataFrame, length: int, mismatch
     return p.join(t, fits).select("query_id", key, "pos", differing(0, length).cast("int").alias("mismatches"))
 
 
-def map_exact(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, retry: int = 0, max_frequency: int | None = None) -> DataFrame:
+def map_exact(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, retry: int | tuple[int, ...] = 0, max_frequency: int | None = None) -> DataFrame:
     """Seed hits (read_id, ref_id, rc, pos_in_read, pos): both strands, equi-join on the k-mer.
 
     ``max_frequency`` drops k-mers that occur more often before the join, the policy for repeats; without it
@@ -134,7 +140,7 @@ def map_exact(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, int
     return seeds(reads, length, interval, retry).join(index, "seed").select("read_id", "ref_id", "rc", "pos_in_read", "pos")
 
 
-def map_one_mismatch(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, first: int | None = None, retry: int = 0) -> DataFrame:
+def map_one_mismatch(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, first: int | None = None, retry: int | tuple[int, ...] = 0) -> DataFrame:
     """Seed hits with an exact first part and at most one substitution in the rest; adds mismatches."""
     head = first or length // 2
     index = kmers(texts, length, out="_t").withColumn("_h", F.substring("_t", 1, head))
@@ -142,7 +148,7 @@ def map_one_mismatch(reads: DataFrame, texts: DataFrame, length: int = SEED_LENG
     return met.withColumn("mismatches", hamming(F.col("seed"), F.col("_t"))).where("mismatches <= 1").select("read_id", "ref_id", "rc", "pos_in_read", "pos", "mismatches")
 
 
-def map_approximate(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, retry: int = 0) -> DataFrame:
+def map_approximate(reads: DataFrame, texts: DataFrame, length: int = SEED_LENGTH, interval: int = SEED_INTERVAL, retry: int | tuple[int, ...] = 0) -> DataFrame:
     """Seed hits with at most one substitution anywhere: either half fits exactly; a hit of both halves counts once."""
     half = length // 2
     halves = lambda s: F.explode(F.array(F.struct(F.lit(0).alias("i"), F.substring(s, 1, half).alias("h")), F.struct(F.lit(1).alias("i"), F.substring(s, half + 1, length - half).alias("h"))))

@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.sam import distinct_alignments
 
 
-def best_two(hits: DataFrame, key: str = "read_id", dist: Column | None = None) -> DataFrame:
-    """(key, score, pos, rc, second_score, second_pos, second_rc) from hits (key, score, pos, rc, len).
+def best_two(hits: DataFrame, key: str = "read_id", dist: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, score, pos, rc, second_score, second_pos, second_rc) from hits (key, score, pos, rc, len), with the columns ``carry`` of the best.
 
     The best hit (ties: smallest position, forward first), then the best that is distinct from it: on the other
     strand or more than half a read away.  Aggregates only: partial results combine before the shuffle, so a
     read with very many hits costs one row a task.
     """
-    rank = F.struct(F.col("score").alias("s"), (-F.col("pos")).alias("p"), (-F.col("rc").cast("int")).alias("r"))
+    rank = F.struct(F.col("score").alias("s"), (-F.col("pos")).alias("p"), (-F.col("rc").cast("int")).alias("r"), *carry)
     best = hits.groupBy(key).agg(F.max(rank).alias("_b"), F.max("len").alias("len"))
-    best = best.select(key, F.col("_b.s").alias("score"), (-F.col("_b.p")).alias("pos"), (-F.col("_b.r")).alias("rc"), "len")
+    best = best.select(key, F.col("_b.s").alias("score"), (-F.col("_b.p")).alias("pos"), (-F.col("_b.r")).alias("rc"), "len", *(f"_b.{c}" for c in carry))
     far = dist if dist is not None else F.floor(F.col("_l") / 2)
     others = hits.select(key, F.col("score").alias("_s"), F.col("pos").alias("_p"), F.col("rc").cast("int").alias("_r")).join(best.select(key, F.col("pos").alias("_bp"), F.col("rc").alias("_br"), F.col("len").alias("_l")), key)
     others = others.where(distinct_alignments(F.col("_p"), F.col("_r"), F.col("_bp"), F.col("_br"), far))
     second = others.groupBy(key).agg(F.max(F.struct(F.col("_s").alias("s"), (-F.col("_p")).alias("p"), (-F.col("_r")).alias("r"))).alias("_2"))
     out = best.join(second, key, "left")
-    return out.select(key, "score", "pos", "rc", F.col("_2.s").alias("second_score"), (-F.col("_2.p")).alias("second_pos"), (-F.col("_2.r")).alias("second_rc"), "len")
+    return out.select(key, "score", "pos", "rc", F.col("_2.s").alias("second_score"), (-F.col("_2.p")).alias("second_pos"), (-F.col("_2.r")).alias("second_rc"), "len", *carry)
 
 
-def best_two_pairs(pairs: DataFrame, key: str = "read_id") -> DataFrame:
+def best_two_pairs(pairs: DataFrame, key: str = "read_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """The same on pair scores: pairs (key, score, o_score, pos, rc, o_pos, o_rc, len, o_len); a pair is the same if both mates are."""
     p = pairs.withColumn("total", F.col("score") + F.col("o_score"))
-    rank = F.struct(F.col("total").alias("t"), (-F.col("pos")).alias("p"), (-F.col("o_pos")).alias("q"), "rc", "o_rc", "score", "o_score")
+    rank = F.struct(F.col("total").alias("t"), (-F.col("pos")).alias("p"), (-F.col("o_pos")).alias("q"), "rc", "o_rc", "score", "o_score", *carry)
     best = p.groupBy(key).agg(F.max(rank).alias("b"))
     met = p.join(best, key)
     differs = lambda a, r, b, s, n: (F.col(r) != F.col(s)) | (F.abs(F.col(a) - b) > F.floor(F.col(n) / 2))
@@ -38,7 +38,7 @@ def best_two_pairs(pairs: DataFrame, key: str = "read_id") -> DataFrame:
     out = best.join(second, key, "left")
     return out.select(
         key, F.col("b.t").alias("total"), F.col("b.score").alias("score"), (-F.col("b.p")).alias("pos"), F.col("b.rc").alias("rc"), F.col("b.o_score").alias("o_score"), (-F.col("b.q")).alias("o_pos"), F.col("b.o_rc").alias("o_rc"),
-        F.col("c.t").alias("second_total"), (-F.col("c.p")).alias("second_pos"), (-F.col("c.q")).alias("second_o_pos"),
+        F.col("c.t").alias("second_total"), (-F.col("c.p")).alias("second_pos"), (-F.col("c.q")).alias("second_o_pos"), *(f"b.{c}" for c in carry),
     )
 
 

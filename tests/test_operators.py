@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +260,82 @@ def test_mismatch_search_long_patterns(spark):
         got = sorted(tuple(r) for r in lookup.mismatch_search(texts, pats, 45, 2, exact).collect())
         want = sorted((i, 1, at, d) for i, p in patterns for at in range(len(text) - 44) if (d := sum(a != b for a, b in zip(p, text[at : at + 45], strict=True))) <= 2 and (not exact or p[-exact:] == text[at + 45 - exact : at + 45]))
         assert got == want
+
+
+def plain_best(p, t, s, mode, band, low, quals):
+    """The best end by a dictionary of cells."""
+    inside = lambda i, j: band is None or low <= i - j < low + band
+    h, e, f, none = {}, {}, {}, align.LOW
+    for i in range(len(t) + 1):
+        for j in range(len(p) + 1):
+            if not inside(i, j):
+                continue
+            if i == 0:
+                h[i, j] = 0 if mode == "local" or j == 0 else s.pattern_open + s.pattern_extend * (j - 1)
+            elif j == 0:
+                h[i, j] = s.text_open + s.text_extend * (i - 1) if mode == "global" else 0
+            else:
+                e[i, j] = max(h.get((i, j - 1), none) + s.pattern_open, e.get((i, j - 1), none) + s.pattern_extend)
+                f[i, j] = max(h.get((i - 1, j), none) + s.text_open, f.get((i - 1, j), none) + s.text_extend)
+                cost = s.mismatch_max if quals is None else int(s.mismatch(np.array([quals[j - 1]]))[0])
+                best = max(h.get((i - 1, j - 1), none) + (s.match if p[j - 1] == t[i - 1] else cost), e[i, j], f[i, j])
+                h[i, j] = max(best, 0) if mode == "local" else best
+    last = {"global": lambda i, j: (i, j) == (len(t), len(p)), "semi_global": lambda i, j: j == len(p) and (i > 0 or j == 0), "local": lambda i, j: True}[mode]
+    return max(((v, *at) for at, v in h.items() if last(*at) and v > none // 2), default=None)
+
+
+@pytest.mark.parametrize("band, low", [(None, 0), (5, 0), (7, -3), (3, -2), (15, -15)])
+def test_bands_and_qualities_equal_plain_cells(band, low):
+    rng = random.Random(3)
+    for s in (EDIT, simple(2, -1, -1, -1), simple_affine(2, -3, -5, -1), preset("default")):
+        for mode in align.MODES:
+            ps, ts = (["".join(rng.choices("ACGT", k=rng.randint(0, n))) for _ in range(20)] for n in (14, 18))
+            for quals in (None, [[rng.randint(0, 40) for _ in p] for p in ps]):
+                found = align.Matrix(ps, ts, s, mode, band, quals, True, low).sinks()
+                for k, best in enumerate(found):
+                    assert (best[0] if best else None) == plain_best(ps[k], ts[k], s, mode, band, low, quals and quals[k])
+
+
+def test_band_is_all_that_is_stored():
+    m = align.Matrix(["ACGT" * 25], ["ACGT" * 50], EDIT, "semi_global", 7, trace=True)
+    assert m.h.shape == m.dir.shape == (1, 9, 101)
+
+
+def test_reads_over_a_begin_and_qualities(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choices("ACGT", k=400))
+    other = "A" if text[150] != "A" else "C"
+    changed = text[100:150] + other + text[151:200]
+    comp = str.maketrans("ACGT", "TGCA")
+    back = changed[::-1].translate(comp)
+    low_at = lambda k: [40] * k + [0] + [40] * (99 - k)
+    rows = [(1, "TT" + text[:98], [40] * 100), (2, changed, [40] * 100), (3, changed, low_at(50)), (4, back, low_at(49)), (5, changed, None)]
+    reads = spark.createDataFrame([(i, s, 100, q) for i, s, q in rows], "read_id long, seq string, len int, qual array<int>")
+    texts = spark.createDataFrame([(7, text)], "ref_id long, seq string")
+    p = aligner.Parameters(seed_length=16)
+    got = {r["read_id"]: r for r in aligner.align(reads, texts, p).collect()}
+    assert (got[1]["pos"], got[1]["cigar"], got[1]["score"]) == (0, "2I98M", -11)  # the read begins before the text
+    assert [got[k]["score"] for k in (2, 3, 4, 5)] == [-6, -2, -2, -6] and got[4]["rc"] == 1
+    assert all((got[k]["pos"], got[k]["n_mm"]) == (100, 1) for k in (2, 3, 4, 5))
+    contigs = spark.createDataFrame([(7, "c")], "ref_id long, name string")
+    lines = {r["qname"]: r for r in aligner.records(aligner.align(reads, texts, p), reads, contigs).collect()}
+    assert lines["4"]["qual"] == "I" * 50 + "!" + "I" * 49 and lines["5"]["qual"] == "*"
+
+
+def test_both_mates_are_traced_back(spark):
+    rng = random.Random(13)
+    text, comp = "".join(rng.choices("ACGT", k=1200)), str.maketrans("ACGT", "TGCA")
+    second = text[500:530] + text[532:562]  # two symbols of the text are missing
+    pairs = spark.createDataFrame([(1, text[300:360], second[::-1].translate(comp)), (2, text[800:860], "A" * 60), (3, "C" * 60, "G" * 60)], "read_id long, seq1 string, seq2 string")
+    texts = spark.createDataFrame([(4, text)], "ref_id long, seq string")
+    found = aligner.align_pairs(pairs, texts, aligner.Parameters(seed_length=20))
+    got = {r["read_id"]: r for r in found.collect()}
+    assert (got[1]["paired"], got[1]["total"], got[1]["pos1"], got[1]["cigar1"], got[1]["pos2"], got[1]["end2"], got[1]["ed2"], got[1]["n_gapo2"]) == (True, -11, 300, "60M", 500, 562, 2, 1)
+    assert got[1]["mapq1"] == got[1]["mapq2"] > 0
+    assert (got[2]["paired"], got[2]["cigar1"], got[2]["cigar2"]) == (False, "60M", None) and got[3]["score1"] is None
+    lines = {(r["qname"], r["flag"] & 64 != 0): r for r in aligner.pair_records(found, pairs, spark.createDataFrame([(4, "c")], "ref_id long, name string")).collect()}
+    assert len(lines) == 6
+    one, two = lines["1", True], lines["1", False]
+    assert (one["flag"], two["flag"]) == (1 | 2 | 32 | 64, 1 | 2 | 16 | 128)
+    assert (one["rnext"], one["pnext"], one["tlen"], two["pnext"], two["tlen"]) == ("=", 501, 262, 301, -262)
+    assert lines["2", True]["flag"] == 1 | 8 | 64 and lines["2", False]["flag"] & 4 and lines["2", False]["rname"] == "*"
