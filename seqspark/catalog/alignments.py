@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import EDIT, preset, simple, simple_affine
 from ..operators import reduce
 from ..operators.align import align_score, align_traceback, edit_distance_global
-from ..operators.derive import READS_SQL, qualities, reads, sequences, table
+from ..operators.derive import READS_SQL, qualities, reads, sequences, sql_dna, table
 from ..plans import aligner
 
 QUERIES, ORACLES = {}, {}
@@ -240,25 +240,31 @@ def streamed_reads(spark, sf_dir):
 # --- the alignment matrix in SQL ---------------------------------------------------------------------------------------------
 
 
-def cells_sql(scheme, mode: str, band: int | None = None) -> str:
-    """CTEs p (pairs) and c (pair_id, i, j, h, e, f, dir, ee, ef): every cell of each pair's matrix, one text row an iteration."""
+P_SQL = f"p AS MATERIALIZED (SELECT pair_id, pattern, text, length(pattern) AS m, length(text) AS n, 0 AS low FROM ({PAIRS_SQL}))"
+
+
+def cells_sql(scheme, mode: str, band: int | None = None, before: str = P_SQL, cost: str | None = None) -> str:
+    """CTEs p (pairs) and c (pair_id, i, j, h, e, f, dir, ee, ef): every cell of each pair's matrix, one text row an iteration.
+
+    ``before`` states p and what it needs, ``cost`` that of a mismatch.
+    """
     ins0, ins1, del0, del1 = scheme.pattern_open, scheme.pattern_extend, scheme.text_open, scheme.text_extend
     low = "(-100000000)::BIGINT"
     local = mode == "local"
     top = "0" if local else f"CASE WHEN j = 0 THEN 0 ELSE {ins0} + {ins1} * (j - 1) END"
     side = f"{del0} + {del1} * i" if mode == "global" else "0"  # of row i + 1
-    inside = f"AND j <= i + 1 AND j > i + 1 - {band}" if band else ""
-    first = f"AND j <= 0 AND j > -{band}" if band else ""
+    inside = f"AND j <= i + 1 - low AND j > i + 1 - low - {band}" if band else ""
+    first = f"AND j <= -low AND j > -low - {band}" if band else ""
     t = "greatest(diag, f, 0)" if local else "greatest(diag, f)"
     stop = "WHEN h = 0 THEN 0 " if local else ""
-    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT pair_id, pattern, text, length(pattern) AS m, length(text) AS n FROM ({PAIRS_SQL})),
-  c AS (SELECT pair_id, 0 AS i, j, ({top})::BIGINT AS h, {low} AS e, {low} AS f, 0 AS dir, false AS ee, false AS ef FROM (SELECT pair_id, unnest(range(0, m + 1)) AS j FROM p) WHERE true {first}
+    return f"""WITH RECURSIVE {before},
+  c AS (SELECT pair_id, 0 AS i, j, ({top})::BIGINT AS h, {low} AS e, {low} AS f, 0 AS dir, false AS ee, false AS ef FROM (SELECT pair_id, low, unnest(range(0, m + 1)) AS j FROM p) WHERE true {first}
    UNION ALL
    SELECT pair_id, i, j, h, e, f, CASE {stop}WHEN j = 0 THEN 0 WHEN diag >= greatest(e, f) THEN 1 WHEN e > f THEN 2 WHEN f > e THEN 3 ELSE {3 if band else 2} END,
           coalesce(lag(e) OVER w + {ins1} > lag(h) OVER w + {ins0}, false), ef
    FROM (SELECT *, CASE WHEN j = 0 THEN t ELSE greatest(t, e) END AS h FROM (SELECT *, CASE WHEN j = 0 THEN {low} ELSE coalesce(max(t - {ins1} * j) OVER (PARTITION BY pair_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {ins0} + {ins1} * (j - 1), {low}) END AS e
      FROM (SELECT pair_id, i + 1 AS i, j, diag, f, ef, (CASE WHEN j = 0 THEN {side} ELSE {t} END)::BIGINT AS t
-       FROM (SELECT pair_id, i, j, coalesce(hd, {low}) + CASE WHEN substr(pattern, j::INT, 1) = substr(text, i + 1, 1) THEN {scheme.match} ELSE {scheme.mismatch_max} END AS diag,
+       FROM (SELECT pair_id, i, j, coalesce(hd, {low}) + CASE WHEN substr(pattern, j::INT, 1) = substr(text, i + 1, 1) THEN {scheme.match} ELSE {cost or scheme.mismatch_max} END AS diag,
               CASE WHEN j = 0 THEN {low} ELSE greatest(h + {del0}, f + {del1}) END AS f, f + {del1} > h + {del0} AS ef
          FROM (SELECT k.pair_id, k.i, k.j, coalesce(a.h, {low}) AS h, coalesce(a.f, {low}) AS f, b.h AS hd
                FROM (SELECT pair_id, i, unnest(range(0, m + 1)) AS j FROM (SELECT pair_id, max(i) AS i FROM c GROUP BY pair_id) JOIN p USING (pair_id) WHERE i < n) k
@@ -284,14 +290,17 @@ def score_sql(scheme, mode: str) -> str:
   SELECT pair_id, b.score::INT AS score, b.i::INT AS text_end, b.j::INT AS pattern_end, o.score::INT AS second_score, o.i::INT AS second_end FROM p LEFT JOIN b USING (pair_id) LEFT JOIN o USING (pair_id)"""
 
 
-def traceback_sql(scheme, mode: str, band: int | None = None) -> str:
-    """Steps from the best end along the directions; operations and the symbols of the MD string are gathered from them."""
+def traceback_sql(scheme, mode: str, band: int | None = None, ends: str | None = None) -> str:
+    """Steps from the best end along the directions; operations and the symbols of the MD string are gathered from them.
+
+    ``ends`` states p, c and b (pair_id, score, i, j) where that isn't the best end of every pair.
+    """
     tail = "''" if mode == "local" else "repeat('I', j::INT)" + (" || repeat('D', i::INT)" if mode == "global" else "")
     i0, j0 = "i" if mode != "global" else "0", "j" if mode == "local" else "0"
     alone = "CASE WHEN score IS NOT NULL THEN coalesce({}, 0) END::INT".format
     runs = "array_to_string(list_transform(regexp_extract_all({}, 'M+|I+|D+'), lambda x: length(x) || substr(x, 1, 1)), '')"
-    return f"""{cells_sql(scheme, mode, band)}, {ends_sql(mode, band)},
-  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, i DESC, j DESC) = 1),
+    best = "b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, i DESC, j DESC) = 1)"
+    return f"""{ends or f'{cells_sql(scheme, mode, band)}, {ends_sql(mode, band)}, {best}'},
   w AS (SELECT pair_id, i, j, 'h' AS st, '' AS ops, 0 AS n FROM b UNION ALL
     SELECT pair_id, CASE WHEN st IN ('m', 'f') THEN i - 1 ELSE i END, CASE WHEN st IN ('m', 'e') THEN j - 1 ELSE j END,
            CASE WHEN st = 'e' AND ee THEN 'e' WHEN st = 'f' AND ef THEN 'f' ELSE 'h' END, ops || CASE st WHEN 'm' THEN 'M' WHEN 'e' THEN 'I' ELSE 'D' END, n + 1
@@ -314,3 +323,49 @@ for _name, _scheme in SCHEMES.items():
         ORACLES[f"{_name}_score_{_mode}"] = score_sql(_scheme, _mode)
         ORACLES[f"{_name}_traceback_{_mode}"] = traceback_sql(_scheme, _mode)
     ORACLES[f"{_name}_traceback_banded"] = traceback_sql(_scheme, "semi_global", 31)
+
+
+# --- the aligner in SQL ------------------------------------------------------------------------------------------------------
+
+
+def places_sql(scheme, max_hits: int | None, cost: str | None = None) -> str:
+    """CTEs from reads to s (pair_id, score, i, j): seeds of all rounds, places, their windows and banded cells; then g, the best end of each place that reaches the threshold."""
+    p = aligner.Parameters(seed_length=16)
+    some = f"JOIN (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY read_id, round ORDER BY n, pir, rc) <= {max_hits}) USING (read_id, round, rc, pir)" if max_hits else ""
+    before = f"""r AS MATERIALIZED (SELECT read_id, seq, len::INT AS len FROM ({READS_SQL})), d AS MATERIALIZED (SELECT doc_id AS ref_id, {sql_dna()} AS seq FROM documents),
+  st AS (SELECT read_id, 0 AS rc, seq AS q, len FROM r UNION ALL SELECT read_id, 1, reverse(translate(seq, 'ACGT', 'TGCA')), len FROM r),
+  sd AS (SELECT read_id, rc, pir, pir % 15 // 5 AS round, substr(q, pir + 1, 16) AS seed FROM (SELECT *, unnest(range(0, len - 15))::INT AS pir FROM st) WHERE pir % 15 IN (0, 5, 10)),
+  km AS (SELECT ref_id, pos, substr(seq, pos + 1, 16) AS seed FROM (SELECT *, unnest(range(0, length(seq) - 15))::INT AS pos FROM d)),
+  ht AS MATERIALIZED (SELECT read_id, ref_id, rc, pir, round, pos FROM sd JOIN km USING (seed)),
+  sn AS (SELECT read_id, round, rc, pir, count(*) AS n FROM ht GROUP BY ALL),
+  la AS (SELECT read_id, min(round) AS last FROM (SELECT read_id, round FROM sn GROUP BY ALL HAVING sum(n) < {p.rep_seeds} * count(*)) GROUP BY read_id),
+  pl AS (SELECT DISTINCT read_id, ref_id, rc, pos - pir AS pos FROM ht {some} LEFT JOIN la USING (read_id) WHERE last IS NULL OR round <= last),
+  wn AS (SELECT read_id, ref_id, rc, len, q AS pattern, seq, greatest(pos - {p.band // 2}, 0) AS a, least(pos - {p.band // 2} + len + {p.band}, length(seq)) AS z, pos - {p.band // 2} AS whole FROM pl JOIN st USING (read_id, rc) JOIN d USING (ref_id)),
+  p AS MATERIALIZED (SELECT row_number() OVER () AS pair_id, read_id, ref_id, rc, len, pattern, substr(seq, a + 1, greatest(z - a, 0)) AS text, length(pattern) AS m, greatest(z - a, 0) AS n, a, (whole - a)::INT AS low, trunc({scheme.min_const}::FLOAT + {scheme.min_coeff}::FLOAT * len::FLOAT)::INT AS least FROM wn)"""
+    return f"""{cells_sql(scheme, p.mode, p.band, before, cost)}, {ends_sql(p.mode)},
+  g AS MATERIALIZED (SELECT s.*, read_id, ref_id, rc, len, a, low, least, ref_id * 4294967296 + a + s.i AS pos FROM s JOIN p USING (pair_id) WHERE score >= least QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, s.i DESC) = 1)"""
+
+
+def align_all_sql(scheme) -> str:
+    return f"{places_sql(scheme, None)} SELECT read_id, ref_id, rc, (a + i)::INT AS \"end\", max(score)::INT AS score FROM g GROUP BY ALL"
+
+
+def align_sql(scheme, cost: str | None = None) -> str:
+    """The best place of each read is traced back; the best that is distinct from it counts for the mapping quality."""
+    from .symbols import mapq_case
+
+    first = "QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY score DESC, pos, rc, a DESC, low DESC) = 1"
+    ends = f"""{places_sql(scheme, aligner.Parameters().max_hits, cost)}, bw AS MATERIALIZED (SELECT * FROM g {first}), b AS (SELECT pair_id, score, i, j FROM bw),
+  sc AS (SELECT g.read_id, max(g.score) AS second FROM g JOIN bw USING (read_id) WHERE g.rc <> bw.rc OR abs(g.pos - bw.pos) > bw.len // 2 GROUP BY g.read_id)"""
+    head, _, last = traceback_sql(scheme, "semi_global", aligner.Parameters().band, ends).rpartition("\n  SELECT pair_id")
+    return f"""{head}, tb AS (SELECT pair_id{last} WHERE t.score IS NOT NULL),
+  fi AS (SELECT bw.read_id, ref_id, (a + text_begin)::INT AS pos, rc, tb.score, second::INT AS second_score, {mapq_case()} AS mapq, cigar, md, ed, n_mm, n_gapo, n_gape
+    FROM (SELECT bw.*, second, bw.score AS best, (0 - least)::FLOAT AS diff, (bw.score - least)::FLOAT AS over, abs(abs(bw.score) - abs(second))::FLOAT AS gap FROM bw LEFT JOIN sc USING (read_id)) bw JOIN tb USING (pair_id))
+  SELECT read_id, r.len, fi.* EXCLUDE (read_id) FROM r LEFT JOIN fi USING (read_id)"""
+
+
+ORACLES["align_reads_all"] = align_all_sql(preset("default"))
+ORACLES["align_reads"] = align_sql(preset("default"))
+ORACLES["align_reads_edit"] = align_sql(simple(0, -1, -1, -1))
+# a base's quality is its place on the read times 7 plus the read's id, modulo 41
+ORACLES["align_reads_quality"] = align_sql(preset("default"), "-2 - trunc((least((CASE WHEN rc = 1 THEN m + 1 - j ELSE j END * 7 + read_id) % 41, 40)::FLOAT / 40::FLOAT)::FLOAT * 4::FLOAT)::INT")

@@ -196,7 +196,8 @@ def score_thresholds(spark, sf_dir):
     return d.select("event_id", least.alias("linear"), scoring.min_score(F.col("n"), 0.0, 10.0, True).alias("log"), scoring.gap_budget(F.col("n"), F.lit(0), least, -3, -8).alias("gaps"))
 
 
-def _mapq_sql() -> str:
+def mapq_case() -> str:
+    """The first model's quality from columns best, second, least, diff, over and gap."""
     f = lambda x: f"(diff * {x}::FLOAT)::FLOAT"
     out = "CASE WHEN best < least THEN 0 WHEN second IS NULL THEN CASE " + " ".join(f"WHEN over >= {f(a)} THEN {b}" for a, b in zip((0.8, 0.7, 0.6, 0.5, 0.4, 0.3), (42, 40, 24, 23, 8, 3), strict=True)) + " ELSE 0 END"
     for a, (x, y) in zip((0.9, 0.8, 0.7, 0.6), ((39, 33), (38, 27), (37, 26), (36, 22)), strict=True):
@@ -205,7 +206,11 @@ def _mapq_sql() -> str:
     for a, c1, c2, v0, v1, v2, v3 in rows:
         out += f" WHEN gap >= {f(a)} THEN CASE WHEN over = diff THEN {v0} WHEN over >= {f(c1)} THEN {v1} WHEN over >= {f(c2)} THEN {v2} ELSE {v3} END"
     out += f" WHEN gap > 0 THEN CASE WHEN over >= {f(0.67)} THEN 6 ELSE 2 END ELSE CASE WHEN over >= {f(0.67)} THEN 1 ELSE 0 END END"
-    return f"SELECT o_orderkey, {out}::INT AS mapq FROM (SELECT o_orderkey, best, second, least, (0 - least)::FLOAT AS diff, (best - least)::FLOAT AS over, abs(abs(best) - abs(second))::FLOAT AS gap FROM (SELECT o_orderkey, (-(o_orderkey % 70))::INT AS best, CASE WHEN o_custkey % 3 > 0 THEN (-(o_orderkey % 70) - o_custkey % 50)::INT END AS second, -60 AS least FROM orders))"
+    return f"{out}::INT"
+
+
+def _mapq_sql() -> str:
+    return f"SELECT o_orderkey, {mapq_case()} AS mapq FROM (SELECT o_orderkey, best, second, least, (0 - least)::FLOAT AS diff, (best - least)::FLOAT AS over, abs(abs(best) - abs(second))::FLOAT AS gap FROM (SELECT o_orderkey, (-(o_orderkey % 70))::INT AS best, CASE WHEN o_custkey % 3 > 0 THEN (-(o_orderkey % 70) - o_custkey % 50)::INT END AS second, -60 AS least FROM orders))"
 
 
 @register("mapq_model", _mapq_sql())
