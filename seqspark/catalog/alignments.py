@@ -369,3 +369,15 @@ ORACLES["align_reads"] = align_sql(preset("default"))
 ORACLES["align_reads_edit"] = align_sql(simple(0, -1, -1, -1))
 # a base's quality is its place on the read times 7 plus the read's id, modulo 41
 ORACLES["align_reads_quality"] = align_sql(preset("default"), "-2 - trunc((least((CASE WHEN rc = 1 THEN m + 1 - j ELSE j END * 7 + read_id) % 41, 40)::FLOAT / 40::FLOAT)::FLOAT * 4::FLOAT)::INT")
+
+
+def record_sql() -> str:
+    """Lines of align_records: an unmapped read has neither place nor tags."""
+    tags = "".join(f" || CASE WHEN {c} IS NOT NULL THEN chr(9) || '{t}' || {c} ELSE '' END" for t, c in (("NM:i:", "ed"), ("AS:i:", "score"), ("XS:i:", "second_score"), ("XM:i:", "n_mm"), ("XO:i:", "n_gapo"), ("XG:i:", "n_gape"), ("MD:Z:", "md")))
+    turned = "CASE WHEN rc = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END"
+    return f"""WITH al AS ({align_sql(preset('default'))})
+  SELECT concat_ws(chr(9), read_id, 64 + CASE WHEN pos IS NULL THEN 4 WHEN rc = 1 THEN 16 ELSE 0 END, coalesce('doc' || ref_id, '*'), coalesce(pos + 1, 0), coalesce(mapq, 0), coalesce(cigar, '*'), '*', 0, 0, {turned}, '*'){tags} AS line
+  FROM al JOIN (SELECT read_id, seq FROM ({READS_SQL})) USING (read_id)"""
+
+
+ORACLES["align_records"] = record_sql()
