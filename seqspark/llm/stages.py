@@ -10,14 +10,17 @@ copies for near-dedup; an empty table gives an empty result; all columns of ``do
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, secret_scan, toxicity
 from .common import cut, fresh, map_texts, table, with_row
 from .components import components
-from .simhash import Links, _groups, mix, shingle_hashes
+from .simhash import FRONT, Links, _groups, blocks, deal, forest, mix, shingle_hashes, trie_pairs
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +38,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(score) < 0.5).drop(score).withColumnRenamed(text, "text").select(*names)
 
 
-# --- near-duplicates: candidates and similarity by minwise values of five-word shingles ---------------------------
+# --- near-duplicates: SimHash words joined by their tries, similarity by minwise values of five-word shingles -----
 
-#: Bands of minwise values that make candidates, values in a band; 64-bit words of the shingle sketch.  Sets with Jaccard
-#: similarity 0.8 share all values of some band with chance 1 - (1 - 0.8 ** WIDTH) ** BANDS = 0.998.
-BANDS, WIDTH, SKETCH = 12, 4, 8
+#: SimHash words of a text, bits of a word, and differing bits within which the trie join takes two words for candidates.
+#: Sets with Jaccard similarity 0.8 differ in a bit with chance acos(0.889) / pi = 0.152 at most, so they meet in a word
+#: with chance 0.37 and in some word with 0.998.
+TABLES, BITS, BUDGET = 14, 28, 3
+#: Sets of up to this many shingles differ in a bit with chance up to 3 / 16, so they have more words: 0.998 as well.
+FEW, TABLES_OF_FEW = 6, 30
+#: 64-bit words of the shingle sketch.
+SKETCH = 8
 SHINGLE, SIMILARITY = 5, 0.8
 #: Standard errors of a sketch around the similarity asked for within which a candidate's shingles are compared.
 DOUBT = 4.0
@@ -95,27 +103,57 @@ def minwise_sketch(h: np.ndarray, bits: int = 64 * SKETCH) -> np.ndarray:
     return sketch_of(minwise_values(h, bits))
 
 
-def band_codes(values: np.ndarray) -> np.ndarray:
-    """A code (int64) for each band of values: equal if all its values are."""
-    bands = values[: BANDS * WIDTH].reshape(BANDS, WIDTH)
-    code = np.zeros(BANDS, np.uint64)
-    for k in range(WIDTH):
-        code = mix(code ^ bands[:, k], k + 1)
-    return code.view(np.int64)
+def bit_counts(z: np.ndarray) -> np.ndarray:
+    """How many rows of ``z`` (uint64, n x words) have each bit: full adders on whole columns, until few rows are left."""
+    total, weight = np.zeros(64 * z.shape[1], np.int64), 1
+    while len(z):
+        carries = []
+        while len(z) > 192:
+            m = len(z) // 3
+            a, b, c = z[:m], z[m : 2 * m], z[2 * m : 3 * m]
+            x = a ^ b
+            carries.append((a & b) | (x & c))
+            z = np.concatenate([x ^ c, z[3 * m :]])
+        total += weight * np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8).astype(np.int64)
+        z, weight = np.concatenate([*carries, z[:0]]), 2 * weight
+    return total
+
+
+def simhash_words(h: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of distinct hashes as words of BITS bits (int64): a bit is 1 if set in over half of the hashes."""
+    tables = TABLES if len(h) > FEW else TABLES_OF_FEW
+    count = -(-tables * BITS // 64)
+    ones = np.zeros(64 * count, np.int64)
+    for i in range(0, len(h), 16384):
+        ones += bit_counts(np.stack([mix(h[i : i + 16384], k + 1) for k in range(count)], axis=1))
+    bits = (ones * 2 > len(h))[: tables * BITS].reshape(tables, BITS)
+    return bits @ (1 << np.arange(BITS, dtype=np.int64))
+
+
+def block_codes(words: np.ndarray) -> np.ndarray:
+    """Each word's blocks of bits: words within BUDGET bits have one of them in common."""
+    return (words[:, None] & np.array(blocks((1 << BITS) - 1, BUDGET + 1))).reshape(-1)
 
 
 def _sketcher():
     def run(texts):
         codes, sketches = [], []
         for t in texts:
-            values = minwise_values(np.unique(shingle_hashes(t, SHINGLE)))
-            codes.append(band_codes(values).tolist())
-            sketches.append(sketch_of(values).tobytes())
+            h = np.unique(shingle_hashes(t, SHINGLE))
+            codes.append(block_codes(simhash_words(h)).tolist())
+            sketches.append(sketch_of(minwise_values(h)).tobytes())
         return [codes, sketches]
 
     return run
 
 
+def _words(codes: str) -> Column:
+    """The words of a text, put together from their blocks."""
+    n = BUDGET + 1
+    word = lambda t: functools.reduce(Column.bitwiseOR, (F.get(codes, t * n + k) for k in range(n)))
+    return F.transform(F.sequence(F.lit(0), (F.size(codes) / n).cast("int") - 1), word)
+
+
 def near_links(sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): links between near rows that join all rows which near pairs join.
 
@@ -136,25 +174,25 @@ def near_links(sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, np.int64),) * 2
 
 
-def in_blocks(rows: DataFrame, limit: int, size: str | None = None, most: int = BYTES) -> DataFrame:
-    """``rows`` (t, code, node, ...) with ``part``: groups of one code above ``limit`` rows, or ``most`` bytes of ``size``, are cut into blocks of about half of it.
+def in_blocks(rows: DataFrame, limit: int, size: str | None = None, most: int = BYTES, keys: tuple[str, ...] = ("t", "code")) -> DataFrame:
+    """``rows`` (keys, node, ...) with ``part``: groups of equal keys above ``limit`` rows, or ``most`` bytes of ``size``, are cut into blocks of about half of it.
 
-    A row is in a part for each other block, so any two rows of a code are together in some part.
+    A row is in a part for each other block, so any two rows of a group are together in some part.
     """
     blocks = F.ceil(F.col("_n") * 2 / limit)
     large = F.col("_n") > limit
     if size:
         blocks, large = F.greatest(blocks, F.ceil(F.col("_s") * 2 / most)), large | (F.col("_s") > most)
     sums = F.sum(size) if size else F.lit(0)
-    hot = rows.groupBy("t", "code").agg(F.count("*").alias("_n"), sums.alias("_s")).where(large).select("t", "code", F.greatest(blocks, F.lit(2)).cast("long").alias("_b"))
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n"), sums.alias("_s")).where(large).select(*keys, F.greatest(blocks, F.lit(2)).cast("long").alias("_b"))
     if hot.isEmpty():
         return rows.withColumn("part", F.lit(0).cast("long"))
     hot = cut(hot)
     own = F.pmod(F.xxhash64("node"), F.col("_b"))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1), lambda x: x != F.col("_own"))
     part = F.transform(others, lambda x: F.least(x, F.col("_own")) * F.col("_b") + F.greatest(x, F.col("_own")))
-    split = rows.join(hot, ["t", "code"]).withColumn("_own", own).withColumn("part", F.explode(part)).drop("_own", "_b")
-    rest = rows.join(hot, ["t", "code"], "left_anti").withColumn("part", F.lit(0).cast("long"))
+    split = rows.join(hot, [*keys]).withColumn("_own", own).withColumn("part", F.explode(part)).drop("_own", "_b")
+    rest = rows.join(hot, [*keys], "left_anti").withColumn("part", F.lit(0).cast("long"))
     return rest.unionByName(split)
 
 
@@ -174,34 +212,96 @@ def _stars(links: Links, **same):
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(v[i : i + (1 << 16)]), *(pa.array([x] * len(part)) for x in same.values())], names=["u", "v", *same])
 
 
+def member_pairs(i: np.ndarray, j: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a, b) of every member of word i with every member of word j, in pieces; word k has ``count[k]`` rows from ``first[k]``."""
+    n = count[i] * count[j]
+    single = n == 1
+    yield first[i[single]], first[j[single]]
+    for k in np.flatnonzero(n > FRONT):
+        a, b = (np.arange(first[x], first[x] + count[x]) for x in (i[k], j[k]))
+        step = max(1, FRONT // len(b))
+        for lo in range(0, len(a), step):
+            part = a[lo : lo + step]
+            yield np.repeat(part, len(b)), np.tile(b, len(part))
+    i, j, n = (x[~single & (n <= FRONT)] for x in (i, j, n))
+    upto, lo = n.cumsum(), 0
+    while lo < len(n):
+        base = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(upto.searchsorted(base + FRONT, "right")))
+        of = np.repeat(np.arange(lo, hi), n[lo:hi])
+        at = np.arange(len(of)) - np.repeat(upto[lo:hi] - n[lo:hi] - base, n[lo:hi])
+        yield first[i[of]] + at // count[j[of]], first[j[of]] + at % count[j[of]]
+        lo = hi
+
+
+class Joined:
+    """Names of what links have joined among a task's rows, so that dense groups aren't compared pair by pair."""
+
+    def __init__(self, rows: int):
+        self.name, self.held, self.size = np.arange(rows), [], 0
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.name[a] != self.name[b]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((a, b))
+        self.size += len(a)
+        if self.size >= 4096:
+            u, v = forest(*(self.name[np.concatenate(x)] for x in zip(*self.held, strict=True)))
+            least = np.arange(len(self.name))
+            least[u] = v
+            self.name, self.held, self.size = least[self.name], [], 0
+
+
 def link_sketches(rows: DataFrame, sure: int, most: int, limit: int = LIMIT) -> DataFrame:
-    """(u, v, sure) stars over nodes that share a band's code and whose sketches differ in at most ``most`` bits, or ``sure``.
+    """(u, v, sure) stars over nodes with words within BUDGET bits and sketches that differ in at most ``most`` bits, or ``sure``.
 
-    rows: t, code, node, sketch.  Every two nodes of a code are compared unless other links join them, so which
+    rows: t (the word's number), code (the word), node, sketch.  Words are dealt by blocks of their bits and the trie of
+    a group is joined with itself.  Every two nodes that meet there are compared unless other links join them, so which
     nodes are joined depends neither on their order nor on the size of their group.
     """
-    keys = ["t", "code", "part"]
-    dealt = in_blocks(rows, limit).repartition(*keys).sortWithinPartitions(*keys)
+    group = ("t", "mask", "value")
+    dealt = in_blocks(deal(rows, BUDGET, BITS, fixed=["t"]), limit, keys=group)
+    # one number for a group: should two share it, more is compared, no less
+    dealt = dealt.select(F.xxhash64(*group, "part").alias("key"), F.col("code").cast("int").alias("word"), "node", "sketch")
+    dealt = dealt.repartition("key").sortWithinPartitions("key", "word")
 
     def run(batches):
         found = {at: Links(1 << 18) for at in (sure, most)}
-        for g in _groups(batches, keys, ROWS):
-            t, code, part, node = (g.column(c).to_numpy() for c in ("t", "code", "part", "node"))
+        for g in _groups(batches, ["key"], ROWS):
+            key, word, node = (g.column(c).to_numpy() for c in ("key", "word", "node"))
             sketch = _sketches(g.column("sketch"))
-            starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (code[1:] != code[:-1]) | (part[1:] != part[:-1])])
-            ends = np.r_[starts[1:], len(code)]
-            twos = starts[ends - starts == 2]  # most groups: compared together
+            new = np.r_[True, key[1:] != key[:-1]]
+            first = np.flatnonzero(new | np.r_[True, word[1:] != word[:-1]])
+            count = np.diff(np.r_[first, len(word)])
+            # one word: a search, so that a dense group costs little more than its members
+            twos = first[count == 2]
             away = np.bitwise_count(sketch[twos] ^ sketch[twos + 1]).sum(1)
+            joined = {at: Joined(len(node)) for at in found}
             for at, links in found.items():
-                links.add(node[twos[away <= at]], node[twos[away <= at] + 1])
-            for k in np.flatnonzero(ends - starts > 2):
-                for at, links in found.items():
-                    i, j = near_links(sketch[starts[k] : ends[k]], at)
-                    links.add(node[starts[k] + i], node[starts[k] + j])
+                near = twos[away <= at]
+                links.add(node[near], node[near + 1])
+                joined[at].add(near, near + 1)
+                for k in np.flatnonzero(count > 2):
+                    i, j = near_links(sketch[first[k] : first[k] + count[k]], at)
+                    links.add(node[first[k] + i], node[first[k] + j])
+                    joined[at].add(first[k] + i, first[k] + j)
+            # words that differ: what the trie join finds
+            for i, j in trie_pairs(word[first].astype(np.uint64), np.flatnonzero(new[first]), BUDGET, BITS):
+                for a, b in member_pairs(i, j, first, count):
+                    apart = joined[sure].apart(a, b)
+                    a, b = a[apart], b[apart]
+                    away = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1)
+                    for at, links in found.items():
+                        near = away <= at
+                        u, v = a[near], b[near]
+                        apart = joined[at].apart(u, v)
+                        links.add(node[u[apart]], node[v[apart]])
+                        joined[at].add(u[apart], v[apart])
         yield from _stars(found[sure], sure=True)
         yield from _stars(found[most], sure=False)
 
-    return dealt.select("t", "code", "part", "node", "sketch").mapInArrow(run, "u long, v long, sure boolean")
+    return dealt.mapInArrow(run, "u long, v long, sure boolean")
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -273,7 +373,7 @@ def near_groups(nodes: DataFrame, texts: DataFrame, limit: int = LIMIT) -> DataF
     only of that.
     """
     sure, most = sketch_distances(SIMILARITY, 64 * SKETCH)
-    rows = nodes.select(F.posexplode("codes").alias("t", "code"), "node", "sketch")
+    rows = nodes.select(F.posexplode(_words("codes")).alias("t", "code"), "node", "sketch")
     links = cut(link_sketches(rows, sure, most, limit))
     roots = components(links.where("sure").select("u", "v"))
     # links in doubt, between groups that are sure
@@ -293,7 +393,8 @@ def near_groups(nodes: DataFrame, texts: DataFrame, limit: int = LIMIT) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact or near copies: the one with the smallest doc_id.
 
-    Near: the Jaccard similarity of the sets of five-word shingles is 0.8 or more.
+    Near: the Jaccard similarity of the sets of five-word shingles is 0.8 or more.  Candidates are what the trie join of
+    the SimHash words finds.
     """
     row, = fresh(docs, "_row")
     numbered = with_row(docs, row)

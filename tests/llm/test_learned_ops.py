@@ -370,3 +370,64 @@ def test_every_member_of_a_code_is_compared(spark, limit):
     reach = np.linalg.matrix_power(near.astype(float), 20) > 0
     assert sorted(map(sorted, got.values())) == sorted(map(list, {tuple(np.flatnonzero(r).tolist()) for r in reach}))
     assert 100 not in root and 101 not in root
+
+
+def test_bits_of_a_simhash_are_majorities():
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 5, 193, 1000):
+        z = rng.integers(0, 1 << 63, (n, 3), dtype=np.uint64)
+        assert (stages.bit_counts(z) == np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)).all()
+        h = z[:, 0]
+        words = stages.simhash_words(h)
+        ones = sum((stages.mix(h, 1) >> np.uint64(k) & np.uint64(1)).sum() * 2 > n and 1 << k for k in range(stages.BITS))
+        assert words[0] == ones and (words < 1 << stages.BITS).all()
+
+
+@pytest.mark.parametrize(("n", "m"), [(5, 4), (6, 5), (10, 8), (45, 36), (250, 200), (1000, 800)])
+def test_near_sets_meet_within_the_budget_of_some_word(n, m):
+    rng = np.random.default_rng(n)
+    met = 0
+    for _ in range(500):
+        h = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        a, b = stages.simhash_words(h), stages.simhash_words(h[:m])  # Jaccard similarity 0.8
+        k = min(len(a), len(b))
+        met += (np.bitwise_count((a[:k] ^ b[:k]).astype(np.uint64)) <= stages.BUDGET).any()
+    assert met >= 0.998 * 500 - 3
+
+
+@pytest.mark.parametrize("limit", [4, 20_000])
+def test_candidates_are_what_the_trie_join_finds(spark, limit):
+    """Equal sketches are linked if their words are within the budget, wherever the bits differ, and not otherwise."""
+    from seqspark.llm.components import components
+
+    rng = np.random.default_rng(13)
+    rows, node, want = [], 0, []
+    for t, away in [(t, away) for t in (0, 3) for away in (1, 2, 3, 4, 9)]:
+        for _ in range(6):
+            sketch = bytearray(rng.integers(0, 1 << 63, stages.SKETCH, dtype=np.uint64).tobytes())
+            word = int(rng.integers(0, 1 << stages.BITS))
+            flip = sum(1 << int(k) for k in rng.choice(stages.BITS, away, replace=False))
+            rows += [(t, word, node, sketch), (t, word ^ flip, node + 1, sketch), (t + 1, word, node + 2, sketch)]
+            want += [{node, node + 1}] if away <= stages.BUDGET else []
+            node += 3
+    hot = bytearray(rng.integers(0, 1 << 63, stages.SKETCH, dtype=np.uint64).tobytes())
+    rows += [(0, 5 ^ (k % 2), node + k, hot) for k in range(40)]  # many rows of two words
+    df = spark.createDataFrame(rows, "t int, code long, node long, sketch binary")
+    got: dict = {}
+    for r in components(stages.link_sketches(df, 0, 51, limit).where("sure").select("u", "v")).collect():
+        got.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, [*want, set(range(node, node + 40))]))
+
+
+def test_near_duplicate_stage_takes_candidates_from_simhash(spark, monkeypatch):
+    """Without a budget of bits near copies hardly meet: the trie join of the words makes the candidates."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, 250)]
+        rows += [(2 * i, " ".join(w), "en", "a", 0), (2 * i + 1, " ".join(w[:210]), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert stages.drop_near_duplicates(spark, docs, SF).count() == 60
+    found = stages.trie_pairs
+    monkeypatch.setattr(stages, "trie_pairs", lambda codes, starts, budget, bits: found(codes, starts, 0, bits))
+    assert stages.drop_near_duplicates(spark, docs, SF).count() > 90
