@@ -55,6 +55,8 @@ DOUBT = 4.0
 DRAWN, ROWS, PAIRS = 4096, 1 << 16, 1 << 14
 #: Most rows of one code, and most bytes of shingles, that meet in a group; larger groups meet in pairs of blocks.
 LIMIT, BYTES = 20_000, 64 << 20
+#: Links that one task joins (24 MB); more are joined in rounds.
+FEW_LINKS = 1_500_000
 
 
 def sketch_distances(similarity: float, bits: int, doubt: float = DOUBT) -> tuple[int, int]:
@@ -375,17 +377,17 @@ def near_groups(nodes: DataFrame, texts: DataFrame, limit: int = LIMIT) -> DataF
     sure, most = sketch_distances(SIMILARITY, 64 * SKETCH)
     rows = nodes.select(F.posexplode(_words("codes")).alias("t", "code"), "node", "sketch")
     links = cut(link_sketches(rows, sure, most, limit))
-    roots = components(links.where("sure").select("u", "v"))
+    roots = components(links.where("sure").select("u", "v"), few=FEW_LINKS)
     # links in doubt, between groups that are sure
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
     doubt = links.where("not sure").join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")).where("u <> v")
     doubt = cut(doubt)
     if doubt.isEmpty():
         return roots
-    open_groups = components(doubt).select(F.col("node").alias("label"), F.col("root").alias("code"))
+    open_groups = components(doubt, few=FEW_LINKS).select(F.col("node").alias("label"), F.col("root").alias("code"))
     labelled = nodes.select("node", "at", "sketch").join(roots, "node", "left").select("node", "at", "sketch", F.coalesce("root", "node").alias("label"))
     members = labelled.join(open_groups, "label")
-    proven = components(prove(members.join(texts, "at").select("code", "node", "label", "sketch", "text"), most, limit))
+    proven = components(prove(members.join(texts, "at").select("code", "node", "label", "sketch", "text"), most, limit), few=FEW_LINKS)
     named = labelled.join(proven.select(F.col("node").alias("label"), "root"), "label", "left")
     return named.select("node", F.coalesce("root", "label").alias("root"))
 

@@ -121,13 +121,30 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     unlabelled = lowest_ids(docs, "doc_id", MAX_UNLABELLED).withColumn("_pos", F.lit(False))
     chosen = pick(docs.select("doc_id", "text"), positives.unionByName(unlabelled)).select("doc_id", "_pos", "text")
     sets = map_texts(chosen, lambda: lambda texts: [[hashed_words(t).tobytes() for t in texts]], [("words", "binary")])
-    # of a sample of very long texts as many as the driver holds, by the same order; at most 16,000 rows meet here
+    # of a sample of very long texts as many as a task holds, by the same order; at most 16,000 rows meet here
     upto = Window.partitionBy("_pos").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "words").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sets = sets.withColumn("_upto", F.sum(F.octet_length("words")).over(upto))
-    got = sets.where(F.col("_upto") <= MAX_BYTES).drop("_upto").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("_pos", "ascending")])
-    rows = [np.frombuffer(x, np.int32) for x in got.column("words").to_pylist()]
-    return train(rows, np.array(got.column("_pos").to_pylist(), bool), toxic / n)
+    sample = sets.where(F.col("_upto") <= MAX_BYTES).select("doc_id", "_pos", "words")
+    # a task fits, so that the driver holds only the model
+    got = sample.repartition(1).mapInArrow(_fitter(toxic / n), "features array<long>, weights array<double>, bias double").first()
+    if got is None:  # no row is in the sample
+        return train([], np.zeros(0, bool), toxic / n)
+    return Model(np.array(got["features"], np.int64), np.array(got["weights"], np.float64), got["bias"])
+
+
+def _fitter(prior: float):
+    def run(batches):
+        import pyarrow as pa
+
+        held = [*batches]
+        if not held:
+            return
+        got = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("_pos", "ascending")])
+        rows = [np.frombuffer(x, np.int32) for x in got.column("words").to_pylist()]
+        model = train(rows, np.array(got.column("_pos").to_pylist(), bool), prior)
+        yield pa.RecordBatch.from_pylist([{"features": model.features.tolist(), "weights": model.weights.tolist(), "bias": model.bias}], schema=pa.schema([("features", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())]))
+
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

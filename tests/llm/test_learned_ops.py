@@ -431,3 +431,36 @@ def test_near_duplicate_stage_takes_candidates_from_simhash(spark, monkeypatch):
     found = stages.trie_pairs
     monkeypatch.setattr(stages, "trie_pairs", lambda codes, starts, budget, bits: found(codes, starts, 0, bits))
     assert stages.drop_near_duplicates(spark, docs, SF).count() > 90
+
+
+def test_components_at_once_and_in_rounds(spark):
+    from seqspark.llm.components import components
+
+    rng = np.random.default_rng(15)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(50)]
+    df = spark.createDataFrame(links, "u long, v long")
+    rounds, at_once = ({tuple(r) for r in components(df, few=few).collect()} for few in (0, 1000))
+    assert rounds == at_once and len(at_once) > 300
+    assert components(df.limit(0), few=1000).count() == 0
+
+
+def test_the_driver_gets_neither_the_fitting_sample_nor_rounds_of_links(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    def gathered(*_):
+        raise AssertionError("rows of the sample reach the driver")
+
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    with monkeypatch.context() as m:
+        m.setattr(Classic, "toArrow", gathered)
+        m.setattr(Classic, "toPandas", gathered)
+        model = toxicity.fit(docs, toxicity.learnable(labels.select("doc_id", "toxic")))
+    assert len(model.features) == len(model.weights) > 0
+    spark.sparkContext.setJobGroup("near", "near")
+    try:
+        stages.drop_near_duplicates(spark, docs, SF).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) <= 60
+    empty_sample = toxicity.fit(docs.limit(0), toxicity.learnable(labels.select("doc_id", "toxic")))
+    assert not len(empty_sample.features) and np.isfinite(empty_sample.bias)
