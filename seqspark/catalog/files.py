@@ -108,7 +108,7 @@ def sam(spark, sf_dir):
 def bam(spark, sf_dir):
     path = folder(spark)
     tags = F.map_filter(F.create_map(*(x for t in ("NM", "AS", "MD") for x in (F.lit(t), F.col(t).cast("string")))), lambda _, v: v.isNotNull())
-    writers.write_alignments(records(spark, sf_dir).withColumn("tags", tags).repartition(4), path, refs(spark), "bam")
+    writers.write_alignments(records(spark, sf_dir).withColumn("tags", tags).repartition("qname"), path, refs(spark), "bam")
     return path
 
 
@@ -145,7 +145,7 @@ def alignment_records(spark, sf_dir):
 def debug_round_trip(spark, sf_dir):
     path = folder(spark)
     d = side(spark, sf_dir, 0).withColumn("n_gapo", F.lit(0)).withColumn("n_gape", F.lit(0))
-    writers.write_alignments(d.repartition(4), path, fmt="debug")
+    writers.write_alignments(d.repartition("read_id"), path, fmt="debug")
     return readers.read_debug(spark, f"{path}/mate=1").drop("n_gapo", "n_gape")
 
 

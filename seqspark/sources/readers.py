@@ -7,6 +7,7 @@ ones by Spark's binary source and an Arrow-batched decoder, so any file system t
 from __future__ import annotations
 
 import gzip
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -152,24 +153,62 @@ def primary_reads(records: DataFrame) -> DataFrame:
 BASES = "=ACMGRSVTWYHKDBN"
 CIGAR_OPS = "MIDNSHP=X"
 _PAIRS = [a + b for a in BASES for b in BASES]
+_QUALITY = bytes((x + 33) % 256 for x in range(256))
+
+
+class _Inflated:
+    """The data of a file of gzip members, inflated as it is asked for: only the part being read is held."""
+
+    STEP = 1 << 16
+
+    def __init__(self, content: bytes):
+        self.rest, self.from_, self.raw, self.at, self.member = memoryview(content), 0, b"", 0, None
+
+    def have(self, size: int) -> bool:
+        """Whether ``size`` bytes are left from ``at`` of ``raw``; moves both."""
+        if len(self.raw) - self.at >= size:
+            return True
+        out, got = [self.raw[self.at :]], len(self.raw) - self.at
+        while got < size and (self.from_ < len(self.rest) or self.member is not None):
+            if self.member is None:
+                self.member = zlib.decompressobj(31)
+            part = self.rest[self.from_ : self.from_ + self.STEP]
+            got_now = self.member.decompress(part)
+            self.from_ += len(part)
+            if self.member.eof:
+                self.from_ -= len(self.member.unused_data)
+                self.member = None
+                while self.from_ < len(self.rest) and self.rest[self.from_] == 0:  # padding between members
+                    self.from_ += 1
+            elif not len(part):
+                raise EOFError("file ends within a gzip member")
+            out.append(got_now)
+            got += len(got_now)
+        self.raw, self.at = b"".join(out), 0
+        return got >= size
+
+    def take(self, size: int) -> bytes:
+        if not self.have(size):
+            raise EOFError("file ends within a record")
+        self.at += size
+        return self.raw[self.at - size : self.at]
 
 
 def decode_bam(content: bytes) -> Iterator[tuple]:
     """Records of a (blocked) gzip file's content, as RECORD rows."""
-    raw = gzip.decompress(content)
-    if raw[:4] != b"BAM\x01":
+    data = _Inflated(content)
+    if not data.have(4) or data.take(4) != b"BAM\x01":
         raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", raw, 4)[0]
-    (n_ref,) = struct.unpack_from("<i", raw, at)
-    at += 4
+    number = lambda: struct.unpack("<i", data.take(4))[0]
+    data.take(number())
     refs = []
-    for _ in range(n_ref):
-        (n,) = struct.unpack_from("<i", raw, at)
-        refs.append(raw[at + 4 : at + 3 + n].decode())
-        at += 8 + n
-    while at < len(raw):
-        size, ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, nref, npos, tlen = struct.unpack_from("<iiiBBHHHiiii", raw, at)
-        p = at + 36
+    for _ in range(number()):
+        refs.append(data.take(number())[:-1].decode())
+        number()
+    while data.have(1):
+        raw = data.take(number())
+        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, nref, npos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
+        p, end = 32, len(raw)
         name = raw[p : p + l_name - 1].decode()
         p += l_name
         ops = struct.unpack_from(f"<{n_cigar}I", raw, p)
@@ -178,7 +217,7 @@ def decode_bam(content: bytes) -> Iterator[tuple]:
         p += (l_seq + 1) // 2
         q = raw[p : p + l_seq]
         p += l_seq
-        tags, end = {}, at + 4 + size
+        tags = {}
         while p < end:
             key, kind = raw[p : p + 2].decode(), chr(raw[p + 2])
             p += 3
@@ -199,21 +238,24 @@ def decode_bam(content: bytes) -> Iterator[tuple]:
         cigar = "".join(f"{o >> 4}{CIGAR_OPS[o & 15]}" for o in ops) or "*"
         rname = refs[ref] if ref >= 0 else "*"
         rnext = "*" if nref < 0 else "=" if nref == ref else refs[nref]
-        qual = "*" if not l_seq or q[0] == 255 else "".join(chr(x + 33) for x in q)
+        qual = "*" if not l_seq or q[0] == 255 else q.translate(_QUALITY).decode("latin-1")
         yield name, flag, rname, pos + 1, mapq, cigar, rnext, npos + 1, tlen, seq or "*", qual, tags
-        at = end
+
+
+def _some(rows: Iterator[tuple], size: int = 10_000) -> Iterator[list[tuple]]:
+    while part := list(itertools.islice(rows, size)):
+        yield part
 
 
 def read_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The same columns as :func:`read_sam`; a task decodes a whole file."""
+    """The same columns as :func:`read_sam`; a task decodes a whole file, some records at a time."""
     names = [f.split()[0] for f in RECORD.split(", ")]
 
     def decode(batches):
         for b in batches:
             for content in b["content"]:
-                rows = list(decode_bam(content))
-                for i in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[i : i + 10_000], columns=names)
+                for rows in _some(decode_bam(content)):
+                    yield pd.DataFrame(rows, columns=names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, RECORD)
 
@@ -258,13 +300,11 @@ DEBUG_HEAD, DEBUG_INFO = "<III", "<IIBBBBHBBBBBBii"
 
 
 def decode_debug(content: bytes) -> Iterator[tuple]:
-    raw, at = gzip.decompress(content), 0
-    while at + 12 <= len(raw):
-        rid, length, pos = struct.unpack_from(DEBUG_HEAD, raw, at)
-        at += 12
+    data, more = _Inflated(content), struct.calcsize(DEBUG_INFO)
+    while data.have(12):
+        rid, length, pos = struct.unpack(DEBUG_HEAD, data.take(12))
         if pos:
-            flag, ref, mate, mapq, ed, _, subs, ins, dels, mms, gapo, gape, second, score, sec = struct.unpack_from(DEBUG_INFO, raw, at)
-            at += struct.calcsize(DEBUG_INFO)
+            flag, ref, mate, mapq, ed, _, subs, ins, dels, mms, gapo, gape, second, score, sec = struct.unpack(DEBUG_INFO, data.take(more))
             yield rid, mate, length, flag, ref, pos, score, mapq, ed, subs, ins, dels, mms, gapo, gape, bool(second), sec if second else None
         else:
             yield rid, 0, length, 4, None, 0, None, 0, None, 0, 0, 0, 0, 0, 0, False, None
@@ -278,8 +318,8 @@ def read_debug(spark: SparkSession, path: str | list[str]) -> DataFrame:
     def decode(batches):
         for b in batches:
             for content in b["content"]:
-                out = pd.DataFrame(list(decode_debug(content)), columns=names)
-                yield out.astype({c: "Int64" if c == "read_id" else "Int32" for c in names if c != "has_second"})
+                for rows in _some(decode_debug(content)):
+                    yield pd.DataFrame(rows, columns=names).astype({c: "Int64" if c == "read_id" else "Int32" for c in names if c != "has_second"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, ALIGNMENT)
 

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import gzip
+import re
 import struct
+import uuid
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .readers import BASES, CIGAR_OPS, DEBUG_HEAD, DEBUG_INFO
 
+CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
+#: fixed values: a base's four bits as a hexadecimal digit, 15 for any other symbol; a quality symbol's Phred value
+FOUR_BITS = bytes(b"0123456789abcdef"[BASES.find(chr(c))] for c in range(256))
+PHRED = bytes((c - 33) % 256 for c in range(256))
+
 #: fixed value: the empty block that ends a blocked gzip file
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
@@ -67,16 +74,15 @@ def bam_bin(begin: int, end: int) -> int:
 
 def bam_record(r: dict, ref_ids: dict[str, int]) -> bytes:
     """One record; without a place its bin is that of place -1."""
-    import re
-
     gone = r["flag"] & 4
     ref = -1 if gone else ref_ids.get(r["rname"], -1)
     nref = ref if r["rnext"] == "=" else ref_ids.get(r["rnext"], -1)
-    ops = [] if gone or r["cigar"] in (None, "*") else [int(n) << 4 | CIGAR_OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", r["cigar"])]
+    ops = [] if gone or r["cigar"] in (None, "*") else [int(n) << 4 | CIGAR_OPS.index(o) for n, o in CIGAR.findall(r["cigar"])]
     seq = "" if r["seq"] in (None, "*") else r["seq"]
-    codes = [BASES.find(c) if c in BASES else 15 for c in seq] + [0]
-    packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
-    qual = bytes([255] * len(seq)) if r["qual"] in (None, "*") else bytes(ord(c) - 33 for c in r["qual"])
+    packed = bytes.fromhex((seq.encode("ascii", "replace").translate(FOUR_BITS) + b"0" * (len(seq) & 1)).decode())
+    qual = bytes([255] * len(seq)) if r["qual"] in (None, "*") else r["qual"].encode("latin-1").translate(PHRED)
+    if len(qual) and max(qual) > 222 and r["qual"] not in (None, "*"):
+        raise ValueError(f"quality below 33 in {r['qual']!r}")
     name = r["qname"].encode() + b"\0"
     begin = -1 if gone else r["pos"] - 1
     span = sum(x >> 4 for x in ops if CIGAR_OPS[x & 15] in "MDN=X") or 1
@@ -86,27 +92,64 @@ def bam_record(r: dict, ref_ids: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def bam_parts(records: DataFrame, contigs: list[tuple[str, int]]) -> DataFrame:
-    """(part, content): one whole BAM file for each task's records."""
+#: Pieces of a file at most, of up to 10,000 records each: a reader's task takes a whole file.
+FILE_PIECES = 25
+
+
+def bam_pieces(records: DataFrame, contigs: list[tuple[str, int]]) -> DataFrame:
+    """(n, content): the pieces of each task's BAM files in order."""
     ids = {n: i for i, (n, _) in enumerate(contigs)}
     names = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags"]
+    encode = lambda b: bgzf(b"".join(bam_record(dict(zip(names, r, strict=True)), ids) for r in b[names].astype(object).itertuples(index=False, name=None)))
+    return records.select(*names).mapInPandas(_pieces(encode, bgzf(bam_header(contigs)), BGZF_END), "n long, content binary")
 
-    def encode(batches):
-        out, rows = [bgzf(bam_header(contigs))], 0
-        for b in batches:
-            raw = [bam_record(dict(zip(names, r, strict=True)), ids) for r in b[names].astype(object).itertuples(index=False, name=None)]
-            rows += len(raw)
-            out.append(bgzf(b"".join(raw)))
-        if rows:
-            yield pd.DataFrame({"n": [rows], "content": [b"".join(out) + BGZF_END]})
 
-    return records.select(*names).mapInPandas(encode, "n long, content binary")
+def _pieces(encode, head: bytes = b"", end: bytes = b""):
+    """Batches to pieces of files: every FILE_PIECES pieces are a file, with its head and end.  A task without rows has no file, and only a piece is held."""
+
+    def run(batches):
+        number, held = 0, None
+        for part in (b.iloc[i : i + 10_000] for b in batches for i in range(0, len(b), 10_000)):
+            if held is not None:
+                yield pd.DataFrame({"n": [held[0]], "content": [held[1] + (end if number % FILE_PIECES == 0 else b"")]})
+            held = len(part), (head if number % FILE_PIECES == 0 else b"") + encode(part)
+            number += 1
+        if held is not None:
+            yield pd.DataFrame({"n": [held[0]], "content": [held[1] + end]})
+
+    return run
 
 
 def write_bam(records: DataFrame, contigs: list[tuple[str, int]], path: str) -> int:
-    """One BAM file a task, written to the cluster's file system by way of the driver; returns how many records were written."""
-    parts = bam_parts(records, contigs).withColumn("name", F.format_string("part-%05d.bam", F.spark_partition_id()))
-    return _write_files(parts, path)
+    """BAM files, one or more a task, written by the tasks; returns how many records were written."""
+    return _write_pieces(bam_pieces(records, contigs), path, "bam")
+
+
+def _write_pieces(pieces: DataFrame, path: str, end: str) -> int:
+    """Every FILE_PIECES pieces (n, content) of a task become a file ``part-*.end`` below ``path``, written by the task; the driver only renames.
+
+    Spark's sink that takes bytes as they are is that of text, which puts a separator behind each row.  A piece ends as a gzip
+    member does, by its size in four bytes; the last is 0, as a member has less than 16 MB, and it is the separator.
+    """
+    spark = pieces.sparkSession
+    at = f"{path}/_pieces-{uuid.uuid4().hex}"
+    rows = Observation()
+    size = F.length("content")
+    zero = F.hex(F.substring("content", size, F.lit(1))) == "00"
+    content = F.when(zero, F.substring("content", F.lit(1), size - 1)).otherwise(F.raise_error(F.lit("a piece must end by a zero byte")).cast("binary"))
+    counted = pieces.observe(rows, F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    counted.select(content.cast("string").alias("value")).write.options(lineSep="\0", compression="none", maxRecordsPerFile=FILE_PIECES).text(at)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(hadoop.Path(at)):
+        name = f.getPath().getName()
+        if name.startswith("part-") and f.getLen():
+            target = hadoop.Path(f"{path}/{name[:10]}-{name.rpartition('-c')[2].partition('.')[0]}.{end}")
+            fs.delete(target, False)
+            if not fs.rename(f.getPath(), target):
+                raise OSError(f"{f.getPath()} could not be renamed {target}")
+    fs.delete(hadoop.Path(at), True)
+    return rows.get["n"]
 
 
 def _write_files(parts: DataFrame, path: str) -> int:
@@ -132,17 +175,12 @@ def debug_record(r: dict) -> bytes:
 
 
 def write_debug(records: DataFrame, path: str) -> int:
-    """Binary debug files, one for each task and mate: a '#' in the path becomes the mate's number."""
+    """Binary debug files, one or more for each task and mate, written by the tasks: a '#' in the path becomes the mate's number."""
+    encode = lambda b: gzip.compress(b"".join(map(debug_record, b.astype(object).where(b.notna(), None).to_dict("records"))))
     total = 0
     for mate in (0, 1):
-
-        def encode(batches):
-            rows = [debug_record(r) for b in batches for r in b.astype(object).where(b.notna(), None).to_dict("records")]
-            if rows:
-                yield pd.DataFrame({"n": [len(rows)], "content": [gzip.compress(b"".join(rows))]})
-
-        part = records.where(F.col("mate") == mate).mapInPandas(encode, "n long, content binary").withColumn("name", F.format_string("part-%05d.dbg", F.spark_partition_id()))
-        total += _write_files(part, path.replace("#", str(mate + 1)) if "#" in path else f"{path}/mate={mate + 1}")
+        part = records.where(F.col("mate") == mate).mapInPandas(_pieces(encode), "n long, content binary")
+        total += _write_pieces(part, path.replace("#", str(mate + 1)) if "#" in path else f"{path}/mate={mate + 1}", "dbg")
     return total
 
 

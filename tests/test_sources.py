@@ -68,6 +68,41 @@ def test_debug_and_sidecars(spark, tmp_path):
     assert sorted(tuple(r) for r in c.collect()) == sorted(tuple(r) for r in contigs.collect()) and [tuple(r) for r in a.collect()] == [(3, 2, "N")]
 
 
+def test_bam_files_are_cut_and_streamed(spark, tmp_path, monkeypatch):
+    """Tasks write their files, a piece at a time and of bounded size; a reader holds a part of a file."""
+    import tracemalloc
+
+    import pandas as pd
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(writers, "FILE_PIECES", 2)
+    batches = [pd.DataFrame({"x": range(n)}) for n in (10_001, 3, 4)]
+    pieces = list(pd.concat(writers._pieces(lambda b: b"%d" % len(b), b"<", b">")(iter(batches))).itertuples(index=False, name=None))
+    assert pieces == [(10_000, b"<10000"), (1, b"1>"), (3, b"<3"), (4, b"4>")] and not list(writers._pieces(lambda b: b"", b"<", b">")(iter(batches[:0])))
+    monkeypatch.undo()
+
+    def gathered(self, *a, **k):
+        raise AssertionError("files go by way of the driver")
+
+    one = ("r", 0, "c1", 5, 30, "4M", "*", 0, 0, "ACGT" * 50, "I" * 200)
+    df = spark.createDataFrame([(f"r{i}", *one[1:]) for i in range(300)], SAM).withColumn("tags", F.create_map(F.lit("NM"), F.lit("1"))).repartition(3)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", gathered)
+    for _ in range(2):  # the second run takes the place of the first
+        assert writers.write_bam(df, [("c1", 100)], str(tmp_path / "z.bam")) == 300
+    monkeypatch.undo()
+    assert sorted(f.name for f in (tmp_path / "z.bam").iterdir() if not f.name.startswith(".")) == [f"part-{i:05d}-000.bam" for i in range(3)]
+    assert sorted(r["qname"] for r in readers.read_bam(spark, str(tmp_path / "z.bam")).collect()) == sorted(f"r{i}" for i in range(300))
+
+    record = writers.bam_record(dict(zip(SAM.replace(" string", "").replace(" int", "").split(", "), one, strict=True)), {"c1": 0})
+    content = writers.bgzf(writers.bam_header([("c1", 100)])) + writers.bgzf(record * 30_000) + writers.BGZF_END
+    tracemalloc.start()
+    assert sum(1 for _ in readers.decode_bam(content)) == 30_000  # 10 MB
+    assert tracemalloc.get_traced_memory()[1] < 3_000_000
+    tracemalloc.stop()
+    with pytest.raises(EOFError):
+        list(readers.decode_bam(content[:-2000]))
+
+
 def test_packed_files():
     for seq in ("", "A", "ACGT", "ACGTTGCATT"):
         assert readers.decode_pac(readers.encode_pac(seq)) == seq
