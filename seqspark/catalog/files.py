@@ -135,10 +135,9 @@ def primary_reads(spark, sf_dir):
 
 @register("alignment_records", f"SELECT qname, flag, pos - 1 AS pos, \"AS\" AS score, mapq, \"NM\" AS ed, CASE WHEN flag & 4 = 0 THEN length(seq) ELSE 0 END::INT AS subs, 0 AS ins, CASE WHEN flag & 4 = 0 THEN 2 ELSE 0 END AS dels, 0 AS n_mm, false AS has_second FROM {RECORDS_SQL}")
 def alignment_records(spark, sf_dir):
-    """Records of a BAM file as the comparison reads them; ids are digests of names, so names are put back for the SQL."""
-    found = readers.alignment_records(readers.read_bam(spark, bam(spark, sf_dir)))
-    names = records(spark, sf_dir).select("qname", F.crc32("qname").alias("read_id"))
-    return found.join(names, "read_id").select("qname", "flag", "pos", "score", "mapq", "ed", "subs", "ins", "dels", "n_mm", "has_second")
+    """Records of a BAM file as the comparison reads them; ids are digests that names of large files share, so names stay for the SQL."""
+    found = readers.alignment_records(readers.read_bam(spark, bam(spark, sf_dir)), keep=("qname",))
+    return found.select("qname", "flag", "pos", "score", "mapq", "ed", "subs", "ins", "dels", "n_mm", "has_second")
 
 
 @register("debug_round_trip", f"SELECT read_id, mate, read_len, flag, ref_id, pos, score, mapq, ed, subs, ins, dels, n_mm, has_second, CASE WHEN has_second THEN sec_score END AS sec_score FROM {side_sql(0)}")

@@ -282,8 +282,8 @@ def list_inputs(spark: SparkSession, pattern: str) -> list[str]:
 # --- alignments for comparison ----------------------------------------------------------------------------------------
 
 
-def alignment_records(records: DataFrame) -> DataFrame:
-    """SAM or BAM records as comparison records: read_id is the CRC of the name, positions are 0-based, tags are typed."""
+def alignment_records(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """SAM or BAM records as comparison records: read_id is the CRC of the name, positions are 0-based, tags are typed.  ``keep`` names columns that stay, such as the name itself."""
     from ..functions.sam import cigar_summary, md_mismatches, parse_cigar
 
     tag = lambda n: F.try_element_at("tags", F.lit(n)).cast("int")
@@ -291,7 +291,7 @@ def alignment_records(records: DataFrame) -> DataFrame:
     return records.select(
         F.crc32("qname").alias("read_id"), F.when(has(F.col("flag"), 128), 1).otherwise(0).alias("mate"), F.length("seq").alias("read_len"), "flag", F.crc32("rname").alias("ref_id"), (F.col("pos") - 1).alias("pos"),
         tag("AS").alias("score"), "mapq", tag("NM").alias("ed"), c["subs"].alias("subs"), c["ins"].alias("ins"), c["dels"].alias("dels"), F.coalesce(md_mismatches(F.try_element_at("tags", F.lit("MD"))), tag("XM"), F.lit(0)).alias("n_mm"),
-        F.coalesce(tag("XO"), F.lit(0)).alias("n_gapo"), F.coalesce(tag("XG"), F.lit(0)).alias("n_gape"), tag("XS").isNotNull().alias("has_second"), tag("XS").alias("sec_score"),
+        F.coalesce(tag("XO"), F.lit(0)).alias("n_gapo"), F.coalesce(tag("XG"), F.lit(0)).alias("n_gape"), tag("XS").isNotNull().alias("has_second"), tag("XS").alias("sec_score"), *keep,
     )
 
 

@@ -103,6 +103,15 @@ def test_bam_files_are_cut_and_streamed(spark, tmp_path, monkeypatch):
         list(readers.decode_bam(content[:-2000]))
 
 
+def test_alignment_records_of_names_that_share_a_digest(spark, tmp_path):
+    from seqspark.catalog import files
+
+    keys = (13, 10_221_900)  # 'r' and the key have one CRC
+    assert len({readers.crc_of(f"r{k}") for k in keys}) == 1
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    assert sorted(r["qname"] for r in files.alignment_records(spark, str(tmp_path)).collect()) == sorted(f"r{k}" for k in keys)
+
+
 def test_packed_files():
     for seq in ("", "A", "ACGT", "ACGTTGCATT"):
         assert readers.decode_pac(readers.encode_pac(seq)) == seq
