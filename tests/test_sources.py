@@ -112,6 +112,30 @@ def test_alignment_records_of_names_that_share_a_digest(spark, tmp_path):
     assert sorted(r["qname"] for r in files.alignment_records(spark, str(tmp_path)).collect()) == sorted(f"r{k}" for k in keys)
 
 
+def test_debug_files_are_written_by_tasks_and_streamed(spark, tmp_path, monkeypatch):
+    import gzip
+    import tracemalloc
+
+    from pyspark.sql import DataFrame
+
+    r = {"read_id": 7, "mate": 0, "read_len": 100, "flag": 0, "ref_id": 1, "pos": 50, "score": -3, "mapq": 30, "ed": 1, "subs": 100, "ins": 0, "dels": 0, "n_mm": 1, "n_gapo": 0, "n_gape": 0, "has_second": True, "sec_score": -9}
+
+    def gathered(self, *a, **k):
+        raise AssertionError("files go by way of the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", gathered)
+    kinds = ", ".join(f"{k} {'long' if k == 'read_id' else 'boolean' if k == 'has_second' else 'int'}" for k in r)
+    df = spark.createDataFrame([tuple({**r, "read_id": i, "mate": i % 2}.values()) for i in range(100)], kinds).repartition(3)
+    assert writers.write_debug(df, str(tmp_path / "d")) == 100
+    monkeypatch.undo()
+    assert sorted(x["read_id"] for x in readers.read_debug(spark, [str(tmp_path / "d/mate=1"), str(tmp_path / "d/mate=2")]).collect()) == list(range(100))
+    content = b"".join(gzip.compress(writers.debug_record(r) * 1000) for _ in range(200))
+    tracemalloc.start()
+    assert sum(1 for _ in readers.decode_debug(content)) == 200_000  # 10 MB
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
+
+
 def test_packed_files():
     for seq in ("", "A", "ACGT", "ACGTTGCATT"):
         assert readers.decode_pac(readers.encode_pac(seq)) == seq
