@@ -361,3 +361,36 @@ def test_state_of_a_group_of_reads():
         (got,) = kept[kept["read_id"] == read].tolist()
         assert (got[1], got[2] if got[3] else None, got[4]) == (two[0], two[1] if len(two) > 1 else None, len(mine))
     assert len(stream._best_two(kept[:0])) == 0
+
+
+def test_scores_without_the_matrix(monkeypatch):
+    """Semi-global scores come from the last anti-diagonals, the same as from the whole matrix, in a bounded block of memory."""
+    import random
+    import tracemalloc
+
+    import pandas as pd
+
+    from seqspark.functions.scoring import preset, simple
+    from seqspark.operators import align
+
+    random.seed(4)
+    word = lambda n, of="ACGT": "".join(random.choices(of, k=n))
+    rows = []
+    for k in range(150):
+        t = word(random.randrange(50), "ACGTN" if k % 5 == 0 else "ACGT")
+        p = "".join(c if random.random() < 0.9 else random.choice(("", "A", "CG")) for c in t[random.randrange(len(t) + 1) :][:30])
+        rows.append((p, t, [random.randrange(41) for _ in p], random.choice((0, -3, 2, None))))
+    df = pd.DataFrame(rows, columns=["p", "t", "q", "low"])
+    for scheme in (preset("default"), simple(0, -1, -1, -1)):
+        for band, qual in ((None, None), (31, None), (31, "q"), (None, "q")):
+            found = pd.concat(align._aligner(scheme, "semi_global", band, False, "p", "t", qual, None, 2, (), "low" if band else None)(iter([df])))
+            for (p, t, q, low), got in zip(rows, found[["score", "text_end", "pattern_end", "second_score", "second_end"]].astype(object).values.tolist(), strict=True):
+                mx = align.Matrix([p], [t], scheme, "semi_global", None if band is None or low is None or low != low else band, [q] if qual else None, low=int(low) if low == low and low is not None else 0)
+                (want,) = mx.sinks(2, 2)
+                flat = [*(want[0] if want else (None,) * 3), *(want[1][:2] if len(want) > 1 else (None, None))]
+                assert [None if x is pd.NA else x for x in got] == flat
+    big = pd.DataFrame([(word(150), word(181), 0)] * 3000, columns=["p", "t", "low"])
+    tracemalloc.start()
+    list(align._aligner(preset("default"), "semi_global", 31, False, "p", "t", None, None, 0, ("p", "t"), "low")(iter([big])))
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
