@@ -34,7 +34,7 @@ def conv(spark, sf_dir):
 
 @register("kmer_count", f"SELECT kmer, count(*) AS n FROM (SELECT substr(seq, i, 12) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 10)) AS i FROM {DOCS} WHERE length(seq) >= 12)) GROUP BY kmer")
 def kmer_count(spark, sf_dir):
-    return lookup.kmers(sequences(spark, sf_dir), 12).groupBy("kmer").agg(F.count("*").alias("n"))
+    return lookup.kmer_counts(sequences(spark, sf_dir), 12)
 
 
 RANGES_SQL = f'SELECT ref_id, substr(seq, pos + 1, 8) AS kmer, min("row") AS "begin", max("row") AS "end" FROM ({SA_SQL}) WHERE pos + 8 <= length(seq) GROUP BY 1, 2'

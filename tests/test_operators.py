@@ -394,3 +394,36 @@ def test_scores_without_the_matrix(monkeypatch):
     list(align._aligner(preset("default"), "semi_global", 31, False, "p", "t", None, None, 0, ("p", "t"), "low")(iter([big])))
     assert tracemalloc.get_traced_memory()[1] < 30_000_000
     tracemalloc.stop()
+
+
+def test_kmer_counts_pass_on_a_row_for_each_kmer(spark):
+    from collections import Counter
+
+    from seqspark.operators import lookup
+
+    texts = ["ACGTACGTTTAC" * 5, "ACG", "", "TTTT"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "seq string").coalesce(1)
+    want = Counter(t[i : i + 4] for t in texts for i in range(len(t) - 3))
+    found = lookup.kmer_counts(df, 4)
+    assert {r["kmer"]: r["n"] for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row for each place
+    with pytest.raises(Exception, match="other than A, C, G and T"):
+        lookup.kmer_counts(spark.createDataFrame([("ACGTN",)], "seq string"), 4).collect()
+
+
+def test_approximate_seeds_of_odd_length(spark):
+    """Halves of two lengths, hits at either end of a text, hits of both halves once."""
+    from seqspark.operators import lookup
+
+    reads = spark.createDataFrame([(1, "ACGTTGCAAGC", 11), (2, "ACGT", 4)], "read_id long, seq string, len int")
+    texts = spark.createDataFrame([(7, "ACGTTGCAAGC"), (8, "ACGTTGCAAGGACGATGCAAGC"), (9, "ACGTTGCAAG"), (10, "TTACGTTGCAACG")], "ref_id long, seq string")
+    for size in (11, 10):
+        got = sorted(tuple(r) for r in lookup.map_approximate(reads, texts, size, 15).where("rc = 0").collect())
+        want = []
+        for ref, t in ((7, "ACGTTGCAAGC"), (8, "ACGTTGCAAGGACGATGCAAGC"), (9, "ACGTTGCAAG"), (10, "TTACGTTGCAACG")):
+            for at in range(len(t) - size + 1):
+                d = sum(x != y for x, y in zip("ACGTTGCAAGC"[:size], t[at : at + size], strict=True))
+                want += [(1, ref, 0, 0, at, d)] if d <= 1 else []
+        assert got == want
+    plan = lookup.map_approximate(reads, texts, 20, 15)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan  # symbols are compared by plain expressions
